@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import quality
+from . import quality, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(C.table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(C.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_quality_rules": op10_quality_rules}
+    made = (op3_secret_scans, op10_quality_rules)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
