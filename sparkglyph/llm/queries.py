@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import quality, secret_scan
+from . import htmltext, langid, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +16,24 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(C.table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(C.table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(C.table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(C.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    made = (op3_secret_scans, op10_quality_rules)
+    made = (op3_secret_scans, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 
