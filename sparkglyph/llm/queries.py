@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import htmltext, langid, quality, secret_scan, toxicity
+from . import htmltext, langid, packing, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(C.table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(C.table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(C.table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = (op3_secret_scans, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
+    made = (op3_secret_scans, op6_packing, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 
