@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import htmltext, langid, packing, quality, secret_scan, toxicity
+from . import htmltext, langid, mixing, packing, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(C.table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(C.table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = (op3_secret_scans, op6_packing, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
+    made = (op1_mixing, op3_secret_scans, op6_packing, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 
