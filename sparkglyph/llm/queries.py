@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import htmltext, langid, mixing, packing, quality, secret_scan, toxicity
+from . import htmltext, langid, minhash, mixing, packing, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(C.table(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(C.table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(C.table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = (op1_mixing, op3_secret_scans, op6_packing, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
+    made = (op1_mixing, op2_minhash, op3_secret_scans, op6_packing, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 
