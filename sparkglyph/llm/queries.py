@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import htmltext, langid, minhash, mixing, packing, quality, secret_scan, toxicity
+from . import hamming, htmltext, langid, minhash, mixing, packing, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(C.table(spark, sf_dir, "documents"))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.embedding_search(C.table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents"))
 
@@ -45,9 +49,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = (op1_mixing, op2_minhash, op3_secret_scans, op6_packing, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
+    made = (op1_mixing, op2_minhash, op3_secret_scans, op4_topk_search, op6_packing, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.oracle_sql()}
+    return {"op4_topk_search": hamming.oracle_sql(), "op10_quality_rules": quality.oracle_sql()}
