@@ -221,14 +221,14 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) ->
         transform(filter(sequence((at div {window}) * {window}, ((at + rest) div {window}) * {window}, {window}L), e -> e > at AND e < at + rest AND e < {main}L), e -> CAST(e AS BIGINT)),
         filter({edge_list}, e -> e > at AND e < at + rest))))"""
     loose = rows.where((F.col("rest") > 0) & (F.col("rank") >= F.col("used"))).withColumn("cut", F.expr(cut))
-    loose = loose.withColumn("part", F.expr("transform(sequence(0, size(cut) - 2), i -> named_struct('a', cut[i], 'n', cut[i + 1] - cut[i]))"))
+    loose = loose.withColumn("part", F.expr("transform(sequence(0, greatest(size(cut) - 2, 0)), i -> named_struct('a', get(cut, i), 'n', get(cut, i + 1) - get(cut, i)))"))
     crcs = _cut_crcs(docs, loose.where(F.size("part") > 1), main // window + len(edges), tokenizer)
     loose = loose.join(C.broadcast_if_small(crcs, main // window + len(edges), 120), ["rest", "rank"], "left")
     place = f"CASE WHEN p.a < {main}L THEN {n_combo}L + p.a div {window} ELSE {n_combo + main // window}L + size(filter({edge_list}, e -> e <= p.a)) - 1 END"
     from_ = f"CASE WHEN p.a < {main}L THEN p.a % {window} ELSE p.a - array_max(filter({edge_list}, e -> e <= p.a)) END"
     loose = loose.select("*", F.posexplode("part").alias("i", "p")).select(
         "doc_id", (F.col("tokens") - F.col("rest") + F.col("p.a") - F.col("at")).alias("start"), F.col("p.n").alias("length"),
-        F.coalesce(F.expr("crcs[i]"), F.col("rest_crc")).alias("ids_crc32"), F.col("tokens").alias("doc_tokens"),
+        F.coalesce(F.expr("get(crcs, i)"), F.col("rest_crc")).alias("ids_crc32"), F.col("tokens").alias("doc_tokens"),
         F.expr(place).cast("long").alias("sequence_id"), F.expr(from_).cast("long").alias("offset"),
     )
     return whole.select(cols).unionByName(combined.select(cols)).unionByName(loose.select(cols))
