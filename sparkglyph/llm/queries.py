@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import hamming, htmltext, langid, minhash, mixing, packing, quality, secret_scan, toxicity
+from . import hamming, htmltext, langid, minhash, mixing, packing, pitman_yor, quality, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.embedding_search(C.table(spark, sf_dir, "embeddings"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(C.table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = (op1_mixing, op2_minhash, op3_secret_scans, op4_topk_search, op6_packing, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
+    made = (op1_mixing, op2_minhash, op3_secret_scans, op4_topk_search, op5_lm_scoring, op6_packing, op7_language_id, op8_toxicity, op9_html_extraction, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 
