@@ -1 +1,59 @@
-"""Corpus pipeline: language ID, near-dedup, secret redaction, mixing and packing."""
+"""Corpus pipeline: language ID, near-dedup, secret redaction, mixing and packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
+all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkglyph.llm import common, langid, minhash, mixing, packing, secret_scan
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network tells; `und` ones go. A null language gets the predicted one."""
+    cols = docs.columns
+    held = common.crc_mod(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT
+    model = langid.train(docs, ~held)
+    if model is None:
+        return docs  # nothing to judge by
+    known = langid.predict(docs, model, cols).where(F.col("lang_pred") != "und")
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(cols)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return minhash.keep_one(docs, width=5, percent=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secret_scan.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as their source's target takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language), ("near_dedup", dedup), ("secret_scan", secrets), ("mixing", mix), ("packing", pack)]
+
+#: Networks, hashes and tokenizers have no form in SQL; tests/llm holds the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result written and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.materialize(docs, name)
+    return docs
