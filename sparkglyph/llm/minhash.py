@@ -6,10 +6,11 @@ bands of maxima bring candidates together; every link is confirmed on the full
 shingle sets.
 
 Documents with equal sets form a class at once and go on as one. In a bucket of
-a band, members are compared with the bucket's first member; what is linked
-forms components. Only members of different components that share a bucket are
-compared further, so a large group of near copies costs its size, not its
-square.
+a band, members are compared with the bucket's first member, the one with the
+smallest share of shingles of its own; what is linked forms components. Members
+of different components that share a bucket are compared further only where
+sizes and the shingles shared at all allow a link, so a large group of near
+copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .flat import pieces
 PERMUTATIONS = 120
 #: 20 bands of minima and 20 of maxima, 6 rows each: a pair at 0.8 is missed once in 190,000 times.
 ROWS = 6
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 class _Words(dict):
@@ -119,21 +120,22 @@ def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, width: int) -> DataFrame:
     return wanted.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     pairs = C.materialize(pairs, "dedup-pairs")
-    ids = C.materialize(pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b AS doc_id")).distinct(), "dedup-ids")
-    n = ids.count()
-    if not n:
-        return pairs
-    sets = C.materialize(_sets(docs, ids, n, width), "dedup-sets")
-    sets = sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
     both = pairs.join(sets.selectExpr("doc_id AS a", "shingles AS x"), "a").join(sets.selectExpr("doc_id AS b", "shingles AS y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
     return C.materialize(links, "dedup-links")
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """(rep, shared): how many shingles of each set are in another one as well; no intersection is larger."""
+    lone = sets.select("doc_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("doc_id").alias("rep")).where("k = 1")
+    lone = lone.groupBy("rep").agg(F.count("*").alias("lone"))
+    return sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(lone, "rep", "left").select("rep", (F.col("n") - F.coalesce("lone", F.lit(0))).cast("long").alias("shared"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -151,36 +153,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
         sig.where(has).groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "dedup-classes"
     )
     entries = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    # buckets of two classes or more
-    bucket = F.xxhash64("band", "key").alias("bucket")
-    entries = entries.select("rep", "n", bucket)
-    first = entries.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("f"), F.count("*").alias("size")).where("size > 1").select("bucket", "f")
-    members = C.materialize(entries.join(first, "bucket").selectExpr("bucket", "rep", "n", "f.rep AS first", "f.n AS first_n"), "dedup-members")
-    fits = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"  # sizes alone can rule a link out
-
-    # each class against the least first member of its buckets, then against all of them that are not yet one with it
-    pairs = members.where("rep != first").where(fits.format("n", "first_n")).groupBy("rep").agg(F.min("first").alias("b")).selectExpr("rep AS a", "b")
-    links = _confirm(pairs, docs, width, percent)
+    # buckets of two classes or more, and the sets of those in them
+    entries = entries.select("rep", "n", F.xxhash64("band", "key").alias("bucket"))
+    full = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members = C.materialize(entries.join(full, "bucket"), "dedup-members")
+    ids = C.materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "dedup-ids")
+    sets = C.materialize(_sets(docs, ids, ids.count(), width), "dedup-sets")
+    sets = sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    members = C.materialize(members.join(_shared(sets), "rep"), "dedup-members")
+    # the first of a bucket is the member with the smallest share of shingles of its own
+    first = members.groupBy("bucket").agg(F.min(F.struct((1 - F.col("shared") / F.col("n")).alias("own"), "rep", "n", "shared")).alias("f"))
+    members = C.materialize(members.join(first, "bucket"), "dedup-members")
+    # what sizes and shared shingles allow: an intersection of two sets is within the shared shingles of either
+    fits = f"100 * least({{a}}k, {{b}}k) >= {percent} * ({{a}}n + {{b}}n - least({{a}}k, {{b}}k)) AND 100 * least({{a}}n, {{b}}n) >= {percent} * greatest({{a}}n, {{b}}n)"
+    against = members.selectExpr("bucket", "rep AS a", "n AS an", "shared AS ak", "f.rep AS b", "f.own AS own", "f.n AS bn", "f.shared AS bk").where("a != b").where(fits.format(a="a", b="b"))
+
+    # each class against the best first member of its buckets, then against all of them that are not yet one with it
+    pairs = against.groupBy("a").agg(F.min_by("b", F.struct("own", "b")).alias("b"))
+    links = _confirm(pairs, sets, percent)
     tried = pairs
     for step in ("firsts", "rest"):
-        comp = connected(links)
-        comp = C.materialize(comp, "dedup-components")
-        here = members.join(comp.selectExpr("id AS rep", "component AS c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        comp = C.materialize(connected(links), "dedup-components")
         if step == "firsts":
-            here = here.join(comp.selectExpr("id AS first", "component AS fc"), "first", "left").withColumn("fc", F.coalesce("fc", "first"))
-            pairs = here.where("c != fc").where(fits.format("n", "first_n")).selectExpr("rep AS a", "first AS b").distinct()
+            pairs = against.join(comp.selectExpr("id AS a", "component AS ac"), "a", "left").join(comp.selectExpr("id AS b", "component AS bc"), "b", "left")
+            pairs = pairs.where("coalesce(ac, a) != coalesce(bc, b)").select("a", "b").distinct()
         else:
             # buckets that still hold more than one component: those in fewer numbers against the rest
-            here = C.materialize(here.select("bucket", "rep", "n", "c"), "dedup-open")
+            here = members.select("bucket", "rep", "n", "shared").join(comp.selectExpr("id AS rep", "component AS c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+            here = C.materialize(here, "dedup-open")
             parts = here.groupBy("bucket", "c").agg(F.count("*").alias("k"))
             main = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").selectExpr("bucket", "m.c AS main")
             open_ = C.materialize(here.join(main, "bucket"), "dedup-open")
-            few = open_.where("c != main").select("bucket", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-            pairs = few.join(open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), "main"), "bucket")
-            pairs = pairs.where("ac != bc AND (bc = main OR a < b)").where(fits.format("an", "bn")).select("a", "b").distinct()
+            few = open_.where("c != main").selectExpr("bucket", "rep AS a", "n AS an", "shared AS ak", "c AS ac")
+            pairs = few.join(open_.selectExpr("bucket", "rep AS b", "n AS bn", "shared AS bk", "c AS bc", "main"), "bucket")
+            pairs = pairs.where("ac != bc AND (bc = main OR a < b)").where(fits.format(a="a", b="b")).select("a", "b").distinct()
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried = tried.union(pairs)
-        links = links.union(_confirm(pairs, docs, width, percent))
+        links = links.union(_confirm(pairs, sets, percent))
     comp = C.materialize(connected(links), "dedup-components")
     classes = classes.select("set_hash", "rep").join(comp.selectExpr("id AS rep", "component"), "rep", "left")
     classes = C.materialize(classes.selectExpr("set_hash", "coalesce(component, rep) AS component"), "dedup-classes")
