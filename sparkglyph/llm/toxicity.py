@@ -221,7 +221,7 @@ def _words_of(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> WordCnn | None:
     """Fits and calibrates on a bounded, reproducible sample of the labelled documents given.
 
-    A document labelled both ways counts as toxic. None when either class is missing.
+    A document labelled both ways counts as toxic. None when either class is missing among the documents.
     """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -232,6 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> WordCnn | None:
     drawn = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)) < share)
     drawn = C.broadcast_if_small(drawn, TRAIN_DOCS, 40)
     rows = _words_of(docs.join(drawn, "doc_id").limit(2 * TRAIN_DOCS)).collect()
+    if len({r.toxic for r in rows}) < 2:
+        return None
     rows.sort(key=lambda r: (r.doc_id, r.ids))
     texts = [np.frombuffer(r.ids, np.uint16).reshape(-1, 1 + len(PREFIXES)).astype(np.int32) for r in rows]
     y = np.array([r.toxic for r in rows], np.float64)
