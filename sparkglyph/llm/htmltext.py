@@ -28,7 +28,7 @@ BLOCKS = frozenset(
 )
 #: Names in class, id or role attributes that mark boilerplate.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|comment-?list|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|share|sharing|sidebar|site-?info|social|sponsor\w*|subscribe|teaser|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|breadcrumbs?|captcha|comment(?:s|list|form|area|section)?|consent|cookie\w*|copyright|disclaimer|disqus|foot(?:er|note)?s?|gdpr|head(?:er|bar)|masthead|menu\w*|nav(?:bar|igation|list)?|newsletter|notices?|notification|pager|pagination|popup|promo\w*|recommend\w*|related|repl(?:y|ies)|share|sharing|side-?bar|site-?info|social|sponsor\w*|subscribe|teaser|toolbar|top-?bar|widget)(?:$|[\s_-])",
     re.I,
 )
 SPACE = re.compile(r"\s+")
