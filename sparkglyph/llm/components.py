@@ -18,7 +18,8 @@ def connected(links: DataFrame, most_steps: int = 60) -> DataFrame:
     spark = links.sparkSession
     e = links.where("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()
     e = C.materialize(e, "cc")
-    last = None
+    check = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    last = check(e)
     for _ in range(most_steps):
         # large star: neighbours above a node go to the least of its neighbourhood
         both = e.select("u", "v").union(e.selectExpr("v AS u", "u AS v"))
@@ -29,7 +30,7 @@ def connected(links: DataFrame, most_steps: int = 60) -> DataFrame:
         least = big.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         small = big.join(least, F.col("u") == F.col("n")).selectExpr("v AS u", "m AS v").union(least.selectExpr("n AS u", "m AS v"))
         new = C.materialize(small.where("u != v").distinct(), "cc")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = check(new)
         C.discard(spark, e)
         e = new
         if now == last:

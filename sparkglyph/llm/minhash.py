@@ -136,6 +136,34 @@ def _shared(sets: DataFrame) -> DataFrame:
     return sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(lone, "rep", "left").select("rep", (F.col("n") - F.coalesce("lone", F.lit(0))).cast("long").alias("shared"))
 
 
+def _open_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and could still be links.
+
+    A bucket's largest component is its main one; members of open buckets gather
+    by main component, and each is held against that component's hub, its most
+    central member. The intersection of two members is at most what the smaller
+    has of the hub, plus the shingles beyond the hub that both have; the latter
+    are counted by a join on the shingle itself. Pairs below the needed size go.
+    """
+    here = members.select("bucket", "rep", "n", "shared").join(comp.selectExpr("id AS rep", "component AS c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    here = C.materialize(here, "dedup-open")
+    parts = here.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").selectExpr("bucket", "m.c AS main")
+    group = C.materialize(here.join(main, "bucket").select("main", "rep", "n", "shared", "c").distinct(), "dedup-open")
+    hubs = group.where("c = main").groupBy("main").agg(F.min_by("rep", F.struct(1 - F.col("shared") / F.col("n"), F.col("rep"))).alias("hub"))
+    held = group.join(hubs, "main").join(sets.selectExpr("doc_id AS rep", "shingles AS x"), "rep").join(sets.selectExpr("doc_id AS hub", "shingles AS y"), "hub")
+    extra = F.array_except("x", "y")
+    held = C.materialize(held.select("main", "rep", "n", "c", extra.alias("extra"), (F.col("n") - F.size(extra)).alias("k")), "dedup-held")
+    few = held.where("c != main").selectExpr("main", "rep AS a", "n AS an", "c AS ac", "k AS ak", "extra AS ax")
+    rest = held.selectExpr("main", "rep AS b", "n AS bn", "c AS bc", "k AS bk", "extra AS bx")
+    apart = "ac != bc AND (bc = main OR a < b)"
+    enough = f"100 * {{i}} >= {percent} * (an + bn - {{i}})"
+    plain = few.drop("ax").join(rest.drop("bx"), "main").where(apart).where(enough.format(i="least(ak, bk)"))
+    more = few.withColumn("h", F.explode("ax")).drop("ax").join(rest.withColumn("h", F.explode("bx")).drop("bx"), ["main", "h"]).where(apart)
+    more = more.groupBy("main", "a", "b").agg(*(F.first(c).alias(c) for c in ("an", "bn", "ak", "bk")), F.count("*").alias("e")).where(enough.format(i="(least(ak, bk) + e)"))
+    return plain.select("a", "b").union(more.select("a", "b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -178,18 +206,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
             pairs = against.join(comp.selectExpr("id AS a", "component AS ac"), "a", "left").join(comp.selectExpr("id AS b", "component AS bc"), "b", "left")
             pairs = pairs.where("coalesce(ac, a) != coalesce(bc, b)").select("a", "b").distinct()
         else:
-            # buckets that still hold more than one component: those in fewer numbers against the rest
-            here = members.select("bucket", "rep", "n", "shared").join(comp.selectExpr("id AS rep", "component AS c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-            here = C.materialize(here, "dedup-open")
-            parts = here.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-            main = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").selectExpr("bucket", "m.c AS main")
-            open_ = C.materialize(here.join(main, "bucket"), "dedup-open")
-            few = open_.where("c != main").selectExpr("bucket", "rep AS a", "n AS an", "shared AS ak", "c AS ac")
-            pairs = few.join(open_.selectExpr("bucket", "rep AS b", "n AS bn", "shared AS bk", "c AS bc", "main"), "bucket")
-            pairs = pairs.where("ac != bc AND (bc = main OR a < b)").where(fits.format(a="a", b="b")).select("a", "b").distinct()
+            pairs = _open_pairs(members, comp, sets, percent)
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried = tried.union(pairs)
-        links = links.union(_confirm(pairs, sets, percent))
+        # what is known of the components stands for the links before
+        links = comp.selectExpr("id AS a", "component AS b").union(_confirm(pairs, sets, percent))
     comp = C.materialize(connected(links), "dedup-components")
     classes = classes.select("set_hash", "rep").join(comp.selectExpr("id AS rep", "component"), "rep", "left")
     classes = C.materialize(classes.selectExpr("set_hash", "coalesce(component, rep) AS component"), "dedup-classes")
