@@ -14,6 +14,7 @@ chunks, so no length, however frequent, lands in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ WINDOW = 2048
 #: Combinations of three lengths are enumerated over so many of the most frequent lengths.
 TRIPLE_LENGTHS = 96
 END_ID = 1
-#: Words whose ids a Python worker keeps; the table is emptied when it is full.
-CACHE_WORDS = 300_000
+#: Words, and parts of words, whose ids a Python worker keeps; a table is emptied when it is full.
+CACHE_WORDS = 400_000
 
 
 def _tokenizer_path(path: str | None) -> str:
@@ -41,37 +42,68 @@ def _tokenizer_path(path: str | None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of these characters alone (ASCII and Latin-1 letters) are taken apart here as the tokenizer does it.
+_SIMPLE = re.compile("[!-~\u00c0-\u00ff]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the rest from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """Ids of words, as bytes, put together from those of their parts."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer, self.model, self.letters, self.parts = tokenizer, tokenizer.model, _byte_letters(), {}
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= CACHE_WORDS:
+                self.parts.clear()
+            spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        s = word.decode("utf-8", "replace")
+        if _SIMPLE.fullmatch(s) and "<|" not in s and "\u00d7" not in s:
+            ids = b"".join(map(self.part, _PARTS.findall(s.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+
 class Tokens:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, the end id included.
 
-    The tokenizer drops white space and takes each word by itself, so words'
-    ids are looked up, and only new words go through the tokenizer.
+    The tokenizer drops white space, lower-cases, and takes runs of letters,
+    single digits and runs of other characters each by itself. Words' ids are
+    looked up, new words are put together from their parts' ids, and only new
+    parts go through the tokenizer's model. Words of other alphabets, or with
+    the special tokens in them, go through the whole tokenizer.
     """
 
     def __init__(self, path: str | None) -> None:
-        import os
-
         import tokenizers
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         file = _tokenizer_path(path)
         kept = tokenizers.__dict__.setdefault("_sparkglyph_words", {})  # outlives a task in its worker
         if file not in kept:
-            kept[file] = (tokenizers.Tokenizer.from_file(file), {})
-        self.tokenizer, self.known = kept[file]
+            kept[file] = _Words(tokenizers.Tokenizer.from_file(file))
+        self.words = kept[file]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # on space and the control characters 9 to 13
-        new = list({w for ws in split for w in ws}.difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list({w for ws in split for w in ws})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, got))
-        find, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
-        return [b"".join([*map(find, ws), end]) for ws in split]
+        # words end at the space and the control characters 9 to 13
+        find, end = self.words.__getitem__, np.array([END_ID], "<u4").tobytes()
+        return [b"".join(map(find, t.split())) + end for t in texts]
 
 
 def tokenize(docs: DataFrame, window: int, path: str | None) -> DataFrame:
