@@ -9,8 +9,8 @@ Documents with equal sets form a class at once and go on as one. In a bucket of
 a band, members are compared with the bucket's first member, the one with the
 smallest share of shingles of its own; what is linked forms components. Members
 of different components that share a bucket are compared further only where
-sizes and the shingles shared at all allow a link, so a large group of near
-copies costs its size, not its square.
+bounds on their intersection allow a link, so a large group of near copies
+costs its size, not its square. The bounds are exact: they drop no link.
 """
 
 from __future__ import annotations
