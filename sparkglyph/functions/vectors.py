@@ -58,6 +58,12 @@ def rotated_boxes(cells: DataFrame, least: float = 0.6, stride: float = 4.0) ->
     return c.withColumns({"x0": (F.col("x1") - (F.col("right") + F.col("left"))).cast("int"), "y0": (F.col("y1") - (F.col("top") + F.col("bottom"))).cast("int")})
 
 
+def top_down(boxes: Column) -> Column:
+    """SRT-01: boxes from top to bottom, then from left to right."""
+    key = F.transform(boxes, lambda b: F.struct(b["y0"].alias("y0"), b["x0"].alias("x0"), b.alias("box")))
+    return F.transform(F.array_sort(key), lambda k: k["box"])
+
+
 def suppress(boxes: DataFrame, key: str, overlap: float = 0.3) -> DataFrame:
     """SF-30: greedy non-maximum suppression per image. boxes: key, x0, y0, x1, y1, score; ties in score go to the last by coordinates."""
 

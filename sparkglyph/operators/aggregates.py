@@ -106,3 +106,27 @@ def ranked(rows: DataFrame, score: str, tie: str, k: int | None = None) -> DataF
     """SRT-06: by score descending, ties by key; top k if given."""
     out = rows.orderBy(F.desc(score), tie)
     return out if k is None else out.limit(k)
+
+
+def method_intents(messages: DataFrame) -> DataFrame:
+    """AGG-23: (method, actions, uris, classes) of the exit points of component messages (file, ord, path, node, value).
+
+    Fields of an exit point stand in its node or below it; classes keep their order.
+    """
+    m = messages.withColumn("point", F.regexp_extract("node", r"^(0/\d+/\d+)", 1)).where(F.col("path").contains("exit_points") & (F.col("point") != ""))
+    field = F.substring_index("path", ".", -1)
+    method = m.where(field == "statement").select("file", "point", F.regexp_extract("value", "(<.*>)", 1).alias("method")).unionByName(
+        m.where(field == "method").select("file", "point", F.col("value").alias("method"))
+    )
+    rows = m.select("file", "point", "ord", field.alias("field"), "value").join(method.distinct(), ["file", "point"])
+    classes = F.array_sort(F.collect_list(F.when(F.col("field") == "class", F.struct("ord", "value"))))
+    return rows.groupBy("method").agg(
+        F.array_sort(F.collect_set(F.when(F.col("field") == "action", F.col("value")))).alias("actions"),
+        F.array_sort(F.collect_set(F.when(F.col("field") == "uri", F.col("value")))).alias("uris"),
+        F.transform(classes, lambda x: x["value"]).alias("classes"),
+    )
+
+
+def flatten_map(nested: DataFrame, key: str, column: str) -> DataFrame:
+    """AGG-02: a row for each entry of a map column."""
+    return nested.select(key, F.explode(column).alias("entry", "value"))

@@ -278,3 +278,22 @@ def test_registry(spark):
         return df.limit(int(n))
 
     assert N.run_client("limit", spark.range(9), ["n=3"]).count() == 3
+
+
+def test_orchestration(spark):
+    from sparkglyph.operators import orchestration as C
+
+    files = spark.createDataFrame([("a", "x/.project"), ("a", "x/build.gradle"), ("b", "B.APK"), ("c", "readme")], "project string, file string")
+    assert {r.project: r.kind for r in C.project_kind(files).collect()} == {"a": "studio", "b": "apk", "c": "unknown"}
+    codes = spark.createDataFrame([(0,), (-1,), (7,)], "c int").select(C.status_name(F.col("c")).alias("s"))
+    assert [r.s for r in codes.collect()] == ["DONE", "TIMEOUT", "ERROR"]
+    got = C.retry(spark.range(6), [{"m": 2}, {"m": 3}], lambda d, s: d.where(F.col("id") % s["m"] == 0).withColumn("m", F.lit(s["m"])), "id")
+    assert {(r.id, r.m) for r in got.collect()} == {(0, 2), (2, 2), (4, 2), (3, 3)}
+
+
+def test_intents_and_boxes(spark):
+    body = 'components { name: "C" exit_points { statement: "invoke <a.B: void f()>" intents { action: "VIEW" class: "Z" class: "Y" } uri: "u" } }'
+    rows = spark.createDataFrame(P.text_message("f", body), "file string, ord long, path string, node string, value string")
+    assert [tuple(r) for r in G.method_intents(rows).collect()] == [("<a.B: void f()>", ["VIEW"], ["u"], ["Z", "Y"])]
+    boxes = spark.createDataFrame([([(5, 9), (1, 2), (0, 9)],)], "b array<struct<x0:int,y0:int>>").select(V.top_down(F.col("b")).alias("b")).first().b
+    assert [tuple(b) for b in boxes] == [(1, 2), (0, 9), (5, 9)]
