@@ -232,6 +232,13 @@ def test_seating():
     assert p.sum(axis=1) == pytest.approx(np.ones(len(p)), abs=1e-3)
 
 
+def test_class_contexts_of_colliding_words():
+    # both end in the same one of 255 classes, as once taken
+    a, b = (np.array([pitman_yor.Classes()[w], 0]) for w in (b"aam", b"abl"))
+    assert zlib.crc32(b"aam") % 255 == zlib.crc32(b"abl") % 255
+    assert pitman_yor.contexts(a)[-1] != pitman_yor.contexts(b)[-1]
+
+
 @needs_data
 def test_packing(spark, docs, edges, empty):
     import public_tokenizers
