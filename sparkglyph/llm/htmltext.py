@@ -4,8 +4,8 @@ The standard library's streaming parser turns a page into lines, one per block,
 each with its text length and the tags it took. Lines inside elements that never
 hold main text (menus, forms, footers, ...) are boilerplate outright. The
 text-to-tag ratios of the rest are smoothed with a Gaussian and clustered by
-threshold; lines of the content cluster, and whatever a page marks as its
-article, form the content regions.
+threshold. Lines of the content cluster form the content regions; an article or
+main element that holds one of them is taken whole.
 """
 
 from __future__ import annotations
@@ -36,23 +36,23 @@ SIGMA = 1.0
 
 
 class _Lines(HTMLParser):
-    """Streams parser events into lines of (text, tags, in article)."""
+    """Streams parser events into lines of (text, tags, outermost article or main element, 0 for none)."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
         self.open: list[tuple[str, bool]] = []
         self.dropped = 0
-        self.article = 0
+        self.article = self.region = 0
 
     def flush(self) -> None:
         if self.text or self.tags:
             if text := SPACE.sub(" ", "".join(self.text)).strip():
-                self.lines.append((text, self.tags, self.article > 0))
+                self.lines.append((text, self.tags, self.region if self.article else 0))
                 self.tags = 0
             self.text = []
 
@@ -71,7 +71,9 @@ class _Lines(HTMLParser):
             drop = marked  # an article's own heading
         self.open.append((tag, drop))
         self.dropped += drop
-        self.article += tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.region += not self.article
+            self.article += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -117,15 +119,12 @@ def extract(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    marked = any(inside for *_, inside in lines)
-    if marked:
-        chosen = [text for text, _, inside in lines if inside]
-    else:
-        ratios = smooth([len(text) / max(1, tags) for text, tags, _ in lines])
-        mean = sum(ratios) / len(ratios)
-        spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-        least = min(max(mean - 0.5 * spread, 0.0), max(ratios))
-        chosen = [text for (text, _, _), r in zip(lines, ratios) if r >= least]
+    ratios = smooth([len(text) / max(1, tags) for text, tags, _ in lines])
+    mean = sum(ratios) / len(ratios)
+    spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    least = min(max(mean - 0.5 * spread, 0.0), max(ratios))
+    confirmed = {region for (*_, region), r in zip(lines, ratios) if r >= least} - {0}
+    chosen = [text for (text, _, region), r in zip(lines, ratios) if r >= least or region in confirmed]
     return " ".join(chosen)
 
 

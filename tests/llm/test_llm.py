@@ -337,6 +337,14 @@ def test_main_text(html, text):
     assert htmltext.extract(html) == text
 
 
+def test_main_text_outside_articles():
+    card, story = "<article><h2><a>a</a></h2><p><a>b</a><a>c</a><a>d</a></p></article>", ("A sentence of the story. " * 12).strip()
+    page = f"{card * 4}<div><p>{story}</p><p>{story}</p><p>{story}</p></div>"
+    got = htmltext.extract(page)
+    assert got.count(story) == 3 and got.count("bcd") <= 1  # smoothing carries the last card
+    assert htmltext.extract(f"<article><h1>T</h1><p>{story}</p></article><p>{story}</p>") == f"T {story} {story}"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>é</p>", None)], "page_id long, url string, html string, text string")
     got = htmltext.extract_pages(df).collect()
