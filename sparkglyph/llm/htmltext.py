@@ -83,6 +83,14 @@ class _Lines(HTMLParser):
             while self._pop() != tag:
                 pass
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections other than closed CDATA are comments up to the next '>', of which the base class refuses some."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        if self.rawdata[i : i + 9].lower() == "<![cdata[" and (k := super().parse_html_declaration(i)) >= 0:
+            return k
+        return self.parse_bogus_comment(i)
+
     def _pop(self) -> str:
         tag, drop = self.open.pop()
         self.dropped -= drop
@@ -110,11 +118,8 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # malformed declarations; what came before them stands
-        pass
+    parser.feed(html)
+    parser.close()
     parser.flush()
     lines = parser.lines
     if not lines:

@@ -345,6 +345,11 @@ def test_main_text_outside_articles():
     assert htmltext.extract(f"<article><h1>T</h1><p>{story}</p></article><p>{story}</p>") == f"T {story} {story}"
 
 
+@pytest.mark.parametrize("mark", ["<![foo]>", "<![1]>", "<![ >", "<![if !IE]>", "<![CDATA[x]]>", "<![CDATA[x>", "<!x>", "<![>"])
+def test_text_after_declarations(mark):
+    assert htmltext.extract(f"<article><p>a</p>{mark}<p>b</p></article>") == "a b"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>é</p>", None)], "page_id long, url string, html string, text string")
     got = htmltext.extract_pages(df).collect()
