@@ -3,8 +3,9 @@
 Words and their first letters are hashed to embeddings; filters of widths 1, 2
 and 3 slide over the words of a whole text and are max-pooled into a logistic
 output. Thresholds are calibrated by language, the language being guessed from
-the hashed words alone, and the scores shifted so that each language's threshold
-lies at 0.3.
+the hashed words alone, on every labelled document that may be learned from: each
+is scored by a network fitted on the other folds. Scores are shifted so that each
+language's threshold lies at 0.3.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -28,6 +29,12 @@ THRESHOLD = 0.3
 #: Bound of the sample that the network is fitted on: documents, half of them toxic where there are as many.
 TRAIN_DOCS = 8_000
 FOLDS, HELD_OUT = 4, 2
+#: Networks fitted for calibration, each without a fold.
+CAL_FOLDS = 5
+#: Toxic documents that the pooled histogram counts as beside a language's own.
+POOLED = 20
+#: Histograms of logits: bins to a unit, and the logit that they reach.
+BINS, REACH = 32, 32
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,28 +189,57 @@ class WordCnn:
         run = np.concatenate([np.zeros((1, self.lang_words.shape[1])), np.cumsum(self.lang_words.take(ids[:, 0], axis=0), axis=0, dtype=np.float64)])
         return (run[at[1:]] - run[at[:-1]]).argmax(axis=1)
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, lang: np.ndarray) -> None:
-        """For each language, the logit that splits the classes best (F1), in the middle of its gap."""
+    def calibrate(self, counts: np.ndarray) -> None:
+        """For each language, the logit that splits the classes best (F1), in the middle of its gap.
 
-        def split(z: np.ndarray, y: np.ndarray) -> float:
-            order = np.argsort(-z, kind="stable")
-            z, hit = z[order], np.cumsum(y[order])
-            f1 = 2 * hit / (np.arange(1, len(z) + 1) + max(1, y.sum()))
-            k = int(f1.argmax())
-            return float((z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k] - 1)
+        counts: documents by language, class and bin of the logit. Those of all languages weigh as POOLED toxic ones beside each language's own.
+        """
 
-        both = split(z, y) if 0 < y.sum() < len(y) else 0.0
-        self.shift = np.full(max(1, len(self.langs)), both)
-        for i in range(len(self.langs)):
-            mine = lang == i
-            if 20 <= y[mine].sum() < mine.sum():
-                self.shift[i] = split(z[mine], y[mine])
+        def split(counts: np.ndarray) -> float:
+            full = np.flatnonzero(counts.sum(axis=0))[::-1]
+            taken, hit = counts.sum(axis=0)[full].cumsum(), counts[1, full].cumsum()
+            k = int((2 * hit / (taken + counts[1].sum())).argmax())
+            low = full[k + 1] + 1 if k + 1 < len(full) else full[k]
+            return float((full[k] + low) / 2 / BINS - REACH)
+
+        both = counts.sum(axis=0)
+        toxic = both[1].sum()
+        self.shift = np.array([split(c + both * (POOLED / toxic)) if toxic else 0.0 for c in counts])
 
     def scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         z = self.logits(ids, at) - self.shift[self.guess(ids, at)] + np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _histograms(docs: DataFrame, marks: DataFrame, model: WordCnn, others: list[WordCnn]) -> np.ndarray:
+    """Labelled documents by guessed language, class and bin of the logit that the network fitted without their fold gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, n = batch.column("fold").to_numpy(), batch.num_rows
+            lang, bins = np.zeros(n, np.int32), np.zeros(n, np.int32)
+            for lo, hi, data, at in pieces(batch.column("text"), 1 << 20):
+                ids, to = hashed_words(data, at)
+                lang[lo:hi] = model.guess(ids, to)
+                for k in np.unique(fold[lo:hi]):
+                    rows = np.flatnonzero(fold[lo:hi] == k)
+                    mine = np.concatenate([ids[to[i] : to[i + 1]] for i in rows])
+                    z = others[k].logits(mine, np.concatenate([[0], np.cumsum(to[rows + 1] - to[rows])]))
+                    bins[lo + rows] = np.clip((z + REACH) * BINS, 0, 2 * REACH * BINS - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang), pa.array(bins)], names=["doc_id", "guess", "bin"])
+
+    got = docs.where("doc_id IS NOT NULL").select("doc_id", _fold().alias("fold"), F.col("text").cast("binary").alias("text"))
+    got = got.mapInArrow(run, "doc_id long, guess int, bin int").join(marks, "doc_id")
+    out = np.zeros((max(1, len(model.langs)), 2, 2 * REACH * BINS))
+    for r in got.groupBy("guess", "toxic", "bin").count().collect():  # a row for each bin at most
+        out[r.guess, int(r.toxic > 0), r.bin] += r["count"]
+    return out
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(CAL_FOLDS)).cast("int")
+
+
 def _words_of(docs: DataFrame) -> DataFrame:
     """Hashed words of whole texts as bytes, for the training sample."""
 
@@ -213,13 +249,13 @@ def _words_of(docs: DataFrame) -> DataFrame:
             for _, _, data, at in pieces(batch.column("text")):
                 ids, to = hashed_words(data, at)
                 got += [ids[a:b].astype(np.uint16).tobytes() for a, b in zip(to, to[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("toxic"), pa.array(got, pa.binary())], names=["doc_id", "lang", "toxic", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("toxic"), batch.column("fold"), pa.array(got, pa.binary())], names=["doc_id", "lang", "toxic", "fold", "ids"])
 
-    return docs.select("doc_id", "lang", "toxic", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, lang string, toxic int, ids binary")
+    return docs.select("doc_id", "lang", "toxic", _fold().alias("fold"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, lang string, toxic int, fold int, ids binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> WordCnn | None:
-    """Fits and calibrates on a bounded, reproducible sample of the labelled documents given.
+    """Fits on a bounded, reproducible sample of the labelled documents given and calibrates on all of them.
 
     A document labelled both ways counts as toxic. None when either class is missing among the documents.
     """
@@ -237,16 +273,14 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> WordCnn | None:
     rows.sort(key=lambda r: (r.doc_id, r.ids))
     texts = [np.frombuffer(r.ids, np.uint16).reshape(-1, 1 + len(PREFIXES)).astype(np.int32) for r in rows]
     y = np.array([r.toxic for r in rows], np.float64)
-    # one in five is kept for calibration
-    cal = np.arange(len(rows)) % 5 == 4
-    model = WordCnn(seed)
-    model.fit([t for t, c in zip(texts, cal) if not c], y[~cal], seed=seed)
+    model = WordCnn(seed).fit(texts, y, seed=seed)
     model.fit_langs(texts, [r.lang for r in rows])
-    held = [t for t, c in zip(texts, cal) if c] if cal.sum() >= 200 else texts
-    held_y = y[cal] if cal.sum() >= 200 else y
-    at = np.concatenate([[0], np.cumsum([len(t) for t in held])]).astype(np.int64)
-    ids = np.concatenate(held)
-    model.calibrate(model.logits(ids, at), held_y, model.guess(ids, at))
+    fold = np.array([r.fold for r in rows])
+    others = []
+    for k in range(CAL_FOLDS):
+        rest = np.flatnonzero(fold != k)
+        others.append(WordCnn(seed).fit([texts[i] for i in rest], y[rest], seed=seed))
+    model.calibrate(_histograms(docs, marks, model, others))
     return model
 
 
@@ -261,7 +295,7 @@ def score(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", "lang")
     held = C.crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT
-    model = train(docs, labels.where(~held), seed)
+    model = train(docs.where(~held), labels.where(~held), seed)
     inner = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text"))
     if model is None:
         return inner.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))

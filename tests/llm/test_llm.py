@@ -313,6 +313,28 @@ def test_toxicity(spark, edges, empty):
     assert toxicity.score(empty, labels).count() == 0 and all(r.score == 0 for r in toxicity.score(edges, labels.limit(0)).collect())
 
 
+def test_toxicity_calibrates_on_all_labels(spark, monkeypatch):
+    seen, real = [], toxicity.WordCnn.calibrate
+    monkeypatch.setattr(toxicity.WordCnn, "calibrate", lambda self, counts: (seen.append(counts), real(self, counts))[1])
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 60)
+    rows = [(i, f"word{i % 7} " + ("vile" if i % 3 == 0 else "kind"), "en" if i % 2 else "de") for i in range(400)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    held = toxicity.score(df, labels).where("held_out").count()
+    assert seen[0].sum() == 400 - held and seen[0].sum(axis=(0, 2))[1] > 60
+
+
+def test_toxicity_thresholds_by_language():
+    counts = np.zeros((2, 2, 2 * toxicity.REACH * toxicity.BINS))
+    zero = toxicity.REACH * toxicity.BINS
+    counts[0, 1, zero + 64] = counts[0, 0, zero - 64] = 1000
+    # a language with 19 toxic documents has a threshold of its own
+    counts[1, 1, zero + 320] = 19
+    counts[1, 0, zero + 128] = 60
+    model = toxicity.WordCnn()
+    model.calibrate(counts)
+    assert -2 < model.shift[0] < 2 and 4 < model.shift[1] < 10
+
+
 def test_hashed_words():
     ids, at = toxicity.hashed_words(*_flat(["Émile, é", "", "foo!!bar", "FOO"]))
     assert list(np.diff(at)) == [2, 0, 2, 1] and (ids[2] == ids[4]).all()
