@@ -26,6 +26,14 @@ def duck():
     return con
 
 
+def test_spelling_knows_all_languages(spark, tmp_path):
+    word = lambda lang, w: [(i, f"{w} " * 3, lang) for i in range(10)]
+    spark.createDataFrame(word("es", "perro") + word("en", "window"), "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "windaw perro")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalogue.QUERIES["q45_spell"](spark, str(tmp_path)).collect()
+    assert "window" in {x for r in got for x in r}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
     got = catalogue.QUERIES[name](spark, str(SF)).toPandas()
