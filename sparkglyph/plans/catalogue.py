@@ -429,7 +429,7 @@ def q45_spell(spark, t):
 @query()
 def q46_pca_outlier(spark, t):
     e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vector"))
-    return O.reconstruction(e.withColumnRenamed("id", "tid"), e.where("id % 4 = 0")).select("id", "grp", F.round("score", 5).alias("score"))
+    return O.reconstruction(e.withColumnRenamed("id", "tid"), e).select("id", "grp", F.round("score", 5).alias("score"))
 
 
 @query("""SELECT l_partkey AS src, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS dst FROM (SELECT DISTINCT l_partkey, l_suppkey AS s FROM lineitem) GROUP BY l_partkey""")

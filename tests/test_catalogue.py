@@ -34,6 +34,11 @@ def test_spelling_knows_all_languages(spark, tmp_path):
     assert "window" in {x for r in got for x in r}
 
 
+def test_every_vector_is_scored(spark):
+    ids = spark.read.parquet(str(SF / "embeddings.parquet")).select("vec_id").toPandas()["vec_id"]
+    assert sorted(catalogue.QUERIES["q46_pca_outlier"](spark, str(SF)).toPandas()["id"]) == sorted(ids)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
     got = catalogue.QUERIES[name](spark, str(SF)).toPandas()
