@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,35 +44,63 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set."""
+    """The shared folder of the cluster, from ``spark.checkpoint.dir``.
+
+    Where none is set, a folder of our own will do in local mode only: the
+    executors of a cluster would not see each other's files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         ready = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = ready.get() if ready.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkglyph-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/sparkglyph-{spark.sparkContext.applicationId}"
 
 
+#: Folders written since ``written_folders`` began, while it is open.
+_WRITTEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def written_folders() -> Iterator[list[str]]:
+    """Collects the folders that ``materialize`` writes meanwhile."""
+    _WRITTEN.append([])
+    try:
+        yield _WRITTEN[-1]
+    finally:
+        _WRITTEN.pop()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    The files go when the application ends.
+    The files go when the application ends, or earlier by ``discard``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    for folders in _WRITTEN:
+        folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a materialized frame that nothing reads any more."""
-    for f in df.inputFiles()[:1]:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files behind materialized frames that nothing reads any more."""
+    for df in frames:
+        for f in df.inputFiles()[:1]:
+            delete(df.sparkSession, f.rsplit("/", 1)[0])
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-def connected(links: DataFrame, most_steps: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """links (a, b), long: returns (id, component), component being the smallest id reachable; ids without links are absent.
 
-    Each step is a shuffled minimum per node, joined back; nothing but a count
+    Repeated links, links of an id with itself and links with a null end change
+    nothing; no links give an empty result; other columns are ignored. Steps
+    go on until a step changes nothing. Each step is a shuffled minimum per node, joined back; nothing but a count
     and a checksum reaches the driver. Hubs are plain keys of joins that Spark
     splits when they are skewed.
     """
-    spark = links.sparkSession
     e = links.where("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()
     e = C.materialize(e, "cc")
     check = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = check(e)
-    for _ in range(most_steps):
+    while True:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = e.select("u", "v").union(e.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS n", "least(u, m) AS m")
@@ -31,9 +32,8 @@ def connected(links: DataFrame, most_steps: int = 60) -> DataFrame:
         small = big.join(least, F.col("u") == F.col("n")).selectExpr("v AS u", "m AS v").union(least.selectExpr("n AS u", "m AS v"))
         new = C.materialize(small.where("u != v").distinct(), "cc")
         now = check(new)
-        C.discard(spark, e)
+        C.discard(e)
         e = new
         if now == last:
             return e.selectExpr("u AS id", "v AS component").union(e.selectExpr("v AS id", "v AS component").distinct())
         last = now
-    raise RuntimeError("components did not settle")
