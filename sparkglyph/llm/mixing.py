@@ -89,21 +89,27 @@ def schedule(spark: SparkSession, sources: DataFrame, n_sources: int, n_slots: i
     return ranked.select("slot", "sid", "rank").unionByName(missing)
 
 
-def mix(docs: DataFrame, keys: list[str], source: str = "source", block: int = BLOCK_WORDS, seed: int = 5) -> DataFrame:
+#: Repeated rows are gathered in so many parts, so that no array holds more than this share of them.
+SALTS = 4096
+
+
+def mix(docs: DataFrame, keys: list[str], source: str = "source", block: int = BLOCK_WORDS, seed: int = 5, row: str | None = None) -> DataFrame:
     """Pieces of documents in the mix, one row per document, repeat and slot it lies in.
 
-    Returns ``keys``, size, source, source_size, target, start (its place in the
-    source's stream), and for documents taken: slot, rank, epoch (0 for the first
-    pass over the stream), at (first word of the piece in its document), n
-    (words). Documents of which nothing is taken have one row with n = 0.
+    Returns ``keys`` (and ``row``, a column that numbers the rows, where given),
+    size, source, source_size, target, start (its place in the source's stream),
+    and for documents taken: slot, rank, epoch (0 for the first pass over the
+    stream), at (first word of the piece in its document), n (words). Documents
+    of which nothing is taken have one row with n = 0.
 
     Null texts have size 0; null sources form one source, the last in order;
-    repeated rows are separate documents; an empty table gives an empty result;
-    sources without words have target 0. Reruns agree: order comes from hashes
-    of the keys alone.
+    repeated rows are separate documents, which stand side by side in the
+    stream; an empty table gives an empty result; sources without words have
+    target 0. Reruns agree: order comes from hashes of the keys alone.
     """
     spark = docs.sparkSession
-    inner = docs.select(*keys, F.col(source).alias("source"), C.n_words(F.col("text")).alias("size"))
+    own = [row] if row else []
+    inner = docs.select(*keys, *own, F.col(source).alias("source"), C.n_words(F.col("text")).alias("size"))
     inner = C.materialize(inner, "mix-sizes")
     sums = inner.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = C.materialize(targets(sums.select("source", "source_size")), "mix-targets")
@@ -112,20 +118,27 @@ def mix(docs: DataFrame, keys: list[str], source: str = "source", block: int = B
     totals = plan.agg(F.count("*").alias("sources"), F.coalesce(F.sum("slots"), F.lit(0)).alias("slots")).first()
     n_docs = inner.count()
 
-    # the shuffled stream of each source: chunks by hash, documents by hash within them
+    # the shuffled stream of each source: chunks by hash, documents by hash within them; repeated rows go as one until they have their places
     chunks = max(64, n_docs // 20_000)
     h = F.xxhash64(*keys, "size", F.lit(seed))
     named = C.broadcast_if_small(plan.withColumnRenamed("source", "plan_source"), totals.sources, 120)
-    d = inner.join(named, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    salt = F.pmod(F.xxhash64(row), F.lit(SALTS)) if row else F.lit(0)
+    alike = inner.groupBy(*keys, "source", "size", salt.alias("salt")).agg(F.count("*").alias("copies"), *([F.array_sort(F.collect_list(row)).alias("rows")] if row else []))
+    d = alike.join(named, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     d = d.withColumn("h", h).withColumn("chunk", F.pmod(F.shiftrightunsigned("h", 20), F.lit(chunks)).cast("int"))
-    by = d.groupBy("sid", "chunk").agg(F.sum("size").alias("words"))
+    words = F.col("size") * F.col("copies")
+    by = d.groupBy("sid", "chunk").agg(F.sum(words).alias("words"))
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     by = by.select("sid", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("sid", "chunk").orderBy("h", *keys).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("sid", "chunk").orderBy("h", *keys, "salt").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("start", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     d = d.join(C.broadcast_if_small(by, totals.sources * chunks, 32), ["sid", "chunk"])
-    d = d.withColumn("start", F.col("start") + F.col("before")).drop("h", "chunk", "before", "weight", "slots")
-    d = C.materialize(d, "mix-stream")
+    copies = F.posexplode("rows").alias("copy", row) if row else F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    d = d.select("*", copies).withColumn("start", F.col("start") + F.col("before") + F.col("copy") * F.col("size"))
+    keys = [*keys, *own]
+    stream = C.materialize(d.select(*keys, "size", "source", "source_size", "target", "start", "sid", "take"), "mix-stream")
+    C.discard(inner)
+    d = stream
 
     # where a document lies in the stream's passes, and in blocks
     cols = [*keys, "size", "source", "source_size", "target", "start"]
@@ -157,21 +170,22 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents: a row with the columns of ``docs`` for each pass that takes the document.
 
     A pass that ends within a document cuts its text after the last word taken;
-    n_chars, where present, follows.
+    n_chars, where present, follows. Null, empty and blank texts have no words
+    and are not taken; null ids and sources pass through; repeated rows are
+    separate documents; an empty table gives an empty result; columns of any
+    other name pass through. Rows are numbered once, in a written copy, and what
+    the mix takes is joined on that number, so texts are shuffled once.
     """
-    inner = docs.withColumnsRenamed({c: f"in_{i}" for i, c in enumerate(docs.columns)})
     at = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
-    keyed = inner.withColumn("text_hash", F.xxhash64(F.coalesce(at["text"], F.lit("")))).withColumnsRenamed({at["doc_id"]: "doc_id", at["text"]: "text", at["source"]: "source"})
-    pieces = mix(keyed, ["doc_id", "text_hash"], block=block)
-    passes = pieces.where(F.col("n") > 0).groupBy("source", "start", "epoch").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("size").alias("size"), F.sum("n").alias("n"))
-    # equal rows are told apart by number, the same on both sides
-    same = ["doc_id", "text_hash", "source"]
-    rows = Window.partitionBy(*same)
-    left = keyed.withColumn("copy", F.row_number().over(rows.orderBy(F.lit(0))))
-    right = passes.withColumn("copy", F.dense_rank().over(rows.orderBy("start"))).select(*(F.col(c).alias(f"m_{c}") for c in (*same, "copy", "size", "n")))
-    both = left.join(right, F.expr(" AND ".join(f"{c} <=> m_{c}" for c in (*same, "copy"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(C.WS_CLASS + "*" + C.NOT_WS_CLASS + "+"), F.lit(0)), F.lit(1), F.col("m_n").cast("int")), "")
-    both = both.withColumn("new", F.when(F.col("m_n") < F.col("m_size"), cut).otherwise(F.col("text")))
+    inner = C.materialize(docs.withColumnsRenamed(at).withColumn("row", F.monotonically_increasing_id()), "mix-docs")
+    keyed = inner.select("row", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source"))
+    keyed = keyed.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    pieces = mix(keyed, ["doc_id", "text_hash"], block=block, row="row")
+    passes = pieces.where(F.col("n") > 0).groupBy(F.col("row").alias("m_row"), "epoch").agg(F.first("size").alias("m_size"), F.sum("n").alias("m_n"))
+    both = inner.join(passes.drop("epoch"), F.col("row") == F.col("m_row"))
+    text = F.col(at["text"])
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(C.WS_CLASS + "*" + C.NOT_WS_CLASS + "+"), F.lit(0)), F.lit(1), F.col("m_n").cast("int")), "")
+    both = both.withColumn("new", F.when(F.col("m_n") < F.col("m_size"), cut).otherwise(text))
     out = []
     for c in docs.columns:
         if c == "text":
@@ -179,5 +193,5 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
         elif c == "n_chars":
             out.append(F.when(F.col("m_n") < F.col("m_size"), F.length("new").cast(docs.schema[c].dataType)).otherwise(F.col(at[c])).alias(c))
         else:
-            out.append(F.col(c if c in ("doc_id", "source") else at[c]).alias(c))
+            out.append(F.col(at[c]).alias(c))
     return both.select(*out)
