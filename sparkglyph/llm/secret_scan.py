@@ -1,11 +1,20 @@
 """Secret scans in DataFrame functions only.
 
 Three kinds of spans follow fixed patterns (assign, access, hex). A battery of
-randomness tests finds further spans (random): for every long token the
-encoding is inferred, its alphabet is tested for uniformity (chi-squared), its
-symbols for runs and serial correlation, and tokens that no test calls patterned
-are compared with what words would show. Discoveries are made at a fixed
-false-discovery rate within strata of equal length class.
+randomness tests finds further spans (random). For every long token the encoding
+is inferred (the smallest alphabet that holds its symbols), and three statistics
+are taken: chi-squared of the alphabet's uniformity, runs of character classes,
+and the serial correlation of symbol values.
+
+A token is a discovery when the three together are not what ordinary text would
+show: their one-sided p-values under text are combined by Fisher's method, and
+Benjamini-Hochberg holds the share of false discoveries within each class of
+length. What text shows is measured on all tokens of the corpus just too short
+to be tested (NEAR to LEAST - 1 symbols). Tokens that the battery rejects as
+random in their own alphabet (repetitions, counting, paths) are no discoveries.
+
+Random letters of one case have no runs to tell them from words; they are found
+only where they are very long.
 
 All positions are code points, ends exclusive.
 """
@@ -23,20 +32,30 @@ ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 # greedy runs: a run that is too short can hold no longer match, so the least length may stand in the pattern
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Tokens tested have LEAST symbols; those from NEAR on show what text looks like.
+NEAR, LEAST = 16, 20
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{NEAR},}}={{0,2}}"
 KINDS = ("assign", "access", "hex", "random")
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
 
-#: Symbols by value in each encoding.
+#: Symbols by value in each encoding; single-case ones are read in the case given.
 ALPHABETS = {
     16: "0123456789abcdef",
+    26: "abcdefghijklmnopqrstuvwxyz",
     32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    36: "0123456789abcdefghijklmnopqrstuvwxyz",
+    62: "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: Letters of words agree with this chance; three agree with the second. Word tokens change character class this often.
-WORD_PAIR, WORD_TRIPLE, WORD_SWITCH = 0.065, 0.0060, 0.08
+#: What text is taken to show before any is seen, and the tokens that this counts as: chances that two and that three
+#: of a token's symbols agree, that neighbours differ in character class, and the variance of the serial correlation.
+PRIOR = {"pair": 0.065, "triple": 0.0060, "switch": 0.05, "serial": 0.0, "serial_sq": 0.06}
+PRIOR_TOKENS = 20
+#: p-value below which a test rejects a token as random in its alphabet.
+PATTERNED = 1e-4
 BLOCK = 128
-Z_BIN = 0.25
+#: Width of the bins of Fisher's statistic.
+BIN = 0.5
 
 
 def _q(pattern: str) -> str:
@@ -82,33 +101,48 @@ def _spans(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.selectExpr(*keep, "t", *made)
 
 
+def _upper_tail(z: str) -> str:
+    """1 - Phi(z) of a column, to seven digits (rational approximation of the error function, fixed values)."""
+    t = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2D)))"
+    poly = f"{t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429))))"
+    half = f"(0.5 * {poly} * exp(-({z}) * ({z}) / 2))"
+    return f"greatest(if({z} >= 0, {half}, 1 - {half}), 1e-300D)"
+
+
 def _battery(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Adds tests: one struct for each candidate that overlaps no base span.
+    """Adds base (spans of the fixed kinds) and tests: the statistics of each token that overlaps none of them.
 
-    n: its length. patterned: a test of randomness rejects it. z: how much
-    less word-like it is than words of its length, in standard deviations.
+    n: symbols. pair, triple: ordered pairs and triples of equal symbols.
+    switch: neighbours of different character class. serial: correlation of
+    neighbours' values. uniform, runs, lag: z of the three tests under
+    randomness in the token's alphabet.
     """
     base = [f"transform(coalesce(m_{k}, array()), m -> named_struct('s', m.s, 'e', m.e, 'k', {i}, 'v', m.v))" for i, k in enumerate(KINDS[:3])]
     df = df.selectExpr(*keep, "t", f"filter(concat({', '.join(base)}), m -> m.k > 0 OR length(m.v) >= 6) AS base", "m_random")
     tok = "translate(m.x, '-_=', '+/')"
-    k = f"CASE WHEN lower({tok}) RLIKE '^[0-9a-f]+$' THEN 16 WHEN {tok} RLIKE '^[A-Z2-7]+$' THEN 32 ELSE 64 END"
+    one_case = f"({tok} = lower({tok}) OR {tok} = upper({tok}))"
+    k = f"""CASE WHEN {one_case} AND {tok} RLIKE '^[0-9a-fA-F]+$' THEN 16 WHEN {one_case} AND {tok} RLIKE '^[a-zA-Z]+$' THEN 26
+        WHEN {tok} RLIKE '^[A-Z2-7]+$' THEN 32 WHEN {one_case} AND {tok} RLIKE '^[a-zA-Z0-9]+$' THEN 36
+        WHEN {tok} RLIKE '^[a-zA-Z0-9]+$' THEN 62 ELSE 64 END"""
     df = df.selectExpr(
         *keep, "t", "base",
         f"""CASE WHEN m_random IS NULL THEN NULL ELSE
             transform(filter(m_random, m -> NOT exists(base, b -> b.s < m.e AND m.s < b.e)),
                 m -> named_struct('s', m.s, 'e', m.e, 'x', {tok}, 'k', {k})) END AS c""",
     )
-    sym = "CASE m.k WHEN 16 THEN '{}' WHEN 32 THEN '{}' ELSE '{}' END".format(*ALPHABETS.values())
+    sym = "CASE m.k " + " ".join(f"WHEN {n} THEN '{a}'" for n, a in ALPHABETS.items()) + " END"
     df = df.selectExpr(
         *keep, "t", "base",
-        f"""transform(c, m -> named_struct('s', m.s, 'e', m.e, 'x', m.x, 'k', m.k, 'n', CAST(length(m.x) AS DOUBLE),
-            'v', transform(split(if(m.k = 16, lower(m.x), m.x), ''), y -> CAST(locate(y, {sym}) AS DOUBLE)),
+        f"""transform(c, m -> named_struct('s', m.s, 'e', m.e, 'k', m.k, 'n', CAST(length(m.x) AS DOUBLE),
+            'v', transform(split(if(m.k IN (16, 26, 36), lower(m.x), m.x), ''), y -> CAST(locate(y, {sym}) AS DOUBLE)),
             'c', transform(split(m.x, ''), y -> CASE WHEN y BETWEEN 'a' AND 'z' THEN 1 WHEN y BETWEEN 'A' AND 'Z' THEN 2 ELSE 3 END),
-            'q', aggregate(array_distinct(split(m.x, '')), 0D, (a, y) -> a + power(length(m.x) - length(replace(m.x, y, '')), 2)))) AS c""",
+            'f', transform(array_distinct(split(m.x, '')), y -> CAST(length(m.x) - length(replace(m.x, y, '')) AS DOUBLE)))) AS c""",
     )
     df = df.selectExpr(
         *keep, "t", "base",
-        """transform(c, m -> named_struct('s', m.s, 'e', m.e, 'k', m.k, 'n', m.n, 'q', m.q,
+        """transform(c, m -> named_struct('s', m.s, 'e', m.e, 'k', m.k, 'n', m.n,
+            'pair', aggregate(m.f, 0D, (a, y) -> a + y * (y - 1)),
+            'triple', aggregate(m.f, 0D, (a, y) -> a + y * (y - 1) * (y - 2)),
             'mean', aggregate(m.v, 0D, (a, y) -> a + y) / m.n,
             'sq', aggregate(m.v, 0D, (a, y) -> a + y * y),
             'up', aggregate(m.v, 0D, (a, y) -> a + if(y > m.k / 2, 1D, 0D)),
@@ -119,30 +153,52 @@ def _battery(df: DataFrame, keep: list[str]) -> DataFrame:
             'switch', aggregate(m.c, named_struct('prev', 0, 'n', 0D),
                 (a, y) -> named_struct('prev', y, 'n', a.n + if(a.prev NOT IN (0, y), 1D, 0D))).n)) AS c""",
     )
-    z_uniform = "(m.k / m.n * m.q - m.n - (m.k - 1)) / sqrt(2 * (m.k - 1) * (m.n - 1) / m.n)"
+    uniform = "((m.k / m.n * (m.pair + m.n) - m.n - (m.k - 1)) / sqrt(2 * (m.k - 1) * (m.n - 1) / m.n))"
     ups = "(2 * m.up * (m.n - m.up))"
-    z_runs = f"coalesce((m.pairs.runs - {ups} / m.n - 1) / nullif(sqrt(greatest({ups} * ({ups} - m.n) / (m.n * m.n * (m.n - 1)), 0)), 0), 9)"
-    var = "nullif(m.sq - m.n * m.mean * m.mean, 0)"
-    # sum of (v_i - mean)(v_i+1 - mean) over neighbours
-    lag = "(m.pairs.lag - m.mean * (2 * m.n * m.mean - m.ends) + (m.n - 1) * m.mean * m.mean)"
-    z_serial = f"coalesce({lag} / {var} * sqrt(m.n), 9)"
-    agree = "(m.q - m.n)"
-    sd = f"sqrt(2 * m.n * (m.n - 1) * {WORD_PAIR} * {1 - WORD_PAIR} + 4 * m.n * (m.n - 1) * (m.n - 2) * {WORD_TRIPLE - WORD_PAIR**2:.6f})"
-    z_words = f"(m.n * (m.n - 1) * {WORD_PAIR} - {agree}) / {sd}"
-    z_switch = f"(m.switch - m.n * {WORD_SWITCH}) / sqrt(m.n * {WORD_SWITCH} * {1 - WORD_SWITCH})"
+    runs = f"coalesce((m.pairs.runs - {ups} / m.n - 1) / nullif(sqrt(greatest({ups} * ({ups} - m.n) / (m.n * m.n * (m.n - 1)), 0)), 0), 9D)"
+    # sum of (v_i - mean)(v_i+1 - mean) over neighbours, over the sum of squares
+    serial = "coalesce((m.pairs.lag - m.mean * (2 * m.n * m.mean - m.ends) + (m.n - 1) * m.mean * m.mean) / nullif(m.sq - m.n * m.mean * m.mean, 0), 1D)"
     return df.selectExpr(
         *keep, "t", "base",
-        f"""transform(coalesce(c, array()), m -> named_struct('s', m.s, 'e', m.e, 'n', CAST(m.n AS INT),
-            'patterned', {z_uniform} > 4 OR abs({z_runs}) > 4 OR abs({z_serial}) > 4,
-            'z', least({z_words}, 20D) / sqrt(2D) + least({z_switch}, 20D) / sqrt(2D))) AS tests""",
+        f"""transform(coalesce(c, array()), m -> named_struct('s', m.s, 'e', m.e, 'n', m.n, 'pair', m.pair, 'triple', m.triple, 'switch', m.switch,
+            'serial', {serial}, 'uniform', {uniform}, 'runs', {runs}, 'lag', {serial} * sqrt(m.n))) AS tests""",
     )
 
 
+def _text(tested: DataFrame) -> dict[str, float]:
+    """What text shows, from all tokens of NEAR to LEAST - 1 symbols, with PRIOR counted as PRIOR_TOKENS more."""
+    m = tested.select(F.explode("tests").alias("m")).where(f"m.n < {LEAST}")
+    sums = {"pair": "m.pair", "triple": "m.triple", "switch": "m.switch", "serial": "m.serial", "serial_sq": "m.serial * m.serial"}
+    of = {"pair": "m.n * (m.n - 1)", "triple": "m.n * (m.n - 1) * (m.n - 2)", "switch": "m.n - 1", "serial": "1D", "serial_sq": "1D"}
+    got = m.agg(*(F.sum(F.expr(x)).alias(c) for c, x in sums.items()), *(F.sum(F.expr(x)).alias(f"of_{c}") for c, x in of.items())).first().asDict()
+    weight = {"pair": NEAR * (NEAR - 1), "triple": NEAR * (NEAR - 1) * (NEAR - 2), "switch": NEAR - 1, "serial": 1, "serial_sq": 1}
+    return {c: ((got[c] or 0.0) + PRIOR[c] * w * PRIOR_TOKENS) / ((got[f"of_{c}"] or 0.0) + w * PRIOR_TOKENS) for c, w in weight.items()}
+
+
+def _fisher(text: dict[str, float]) -> str:
+    """Fisher's statistic of the three tests of a token m against text: large where text would not show them."""
+    p2, p3 = text["pair"], max(text["triple"], text["pair"] ** 2)
+    sd = f"sqrt(2 * m.n * (m.n - 1) * {p2 * (1 - p2)!r}D + 4 * m.n * (m.n - 1) * (m.n - 2) * {p3 - p2 * p2!r}D)"
+    uniform = f"((m.n * (m.n - 1) * {p2!r}D - m.pair) / {sd})"
+    runs = f"((m.switch - (m.n - 1) * {text['switch']!r}D) / sqrt((m.n - 1) * {text['switch'] * (1 - text['switch'])!r}D))"
+    var = max(text["serial_sq"] - text["serial"] ** 2, 1e-6) * (NEAR + LEAST - 1) / 2
+    toward = 1.0 if text["serial"] < 0 else -1.0  # where randomness lies from what text shows
+    serial = f"((m.serial - {text['serial']!r}D) * {toward}D / sqrt({var!r}D / m.n))"
+    return "(-2 * (" + " + ".join(f"ln({_upper_tail(z)})" for z in (uniform, runs, serial)) + "))"
+
+
+def _patterned() -> str:
+    """One of the three tests rejects the token m as random in its alphabet."""
+    z = 3.719  # upper tail of PATTERNED
+    return f"(m.uniform > {z + 1} OR abs(m.runs) > {z} OR abs(m.lag) > {z})"  # chi-squared has the longer tail
+
+
 def _thresholds(counts: list, q: float) -> dict[int, float]:
-    """Benjamini-Hochberg on binned z by stratum of length: the least z of discoveries.
+    """Benjamini-Hochberg on binned statistics by stratum of length: the least statistic of discoveries.
 
-    A discovery's bound on p is that of its bin's lower edge, so binning only
-    makes it stricter. Patterned tokens stay in the number of tests.
+    A discovery's bound on p is that of its bin's lower edge (a chi-squared tail
+    of six degrees), so binning only makes it stricter. Patterned tokens stay in
+    the number of tests.
     """
     out = {}
     for stratum in {r.stratum for r in counts}:
@@ -152,27 +208,32 @@ def _thresholds(counts: list, q: float) -> dict[int, float]:
             if b < 0:
                 break
             found += n
-            if tests * 0.5 * math.erfc(b * Z_BIN / math.sqrt(2)) <= q * found:
-                out[stratum] = b * Z_BIN
+            half = b * BIN / 2
+            if tests * math.exp(-half) * (1 + half + half * half / 2) <= q * found:
+                out[stratum] = b * BIN
     return out
 
 
-def scan(docs: DataFrame, keep: list[str], q: float = 0.01) -> DataFrame:
-    """``keep`` columns plus t (text, null as empty) and spans: array of (s, e, k) by start, then kind.
+def scan(docs: DataFrame, keep: list[str], q: float = 0.01, text: bool = False) -> DataFrame:
+    """``keep`` columns, t (the text, null as empty) if wanted, and spans: array of (s, e, k) by start, then kind.
 
     k indexes KINDS. Null and empty texts have no spans; repeated rows are each
     scanned; an empty table gives an empty result; texts are scanned whole.
     """
-    tested = C.materialize(_battery(_spans(docs, keep), keep), "secrets")
-    stratum = F.floor(F.log2(F.col("m.n").cast("double"))).cast("int")
-    zbin = F.when(F.col("m.patterned"), -1).otherwise(F.greatest(F.floor(F.col("m.z") / Z_BIN), F.lit(-1))).cast("int")
-    counts = tested.select(F.explode("tests").alias("m")).groupBy(stratum.alias("stratum"), zbin.alias("bin")).agg(F.count("*").alias("n"))
-    limits = _thresholds(counts.collect(), q)  # a few hundred rows at most: length classes by bins
-    least = "CASE " + " ".join(f"WHEN m.n >= {2**s} AND m.n < {2 ** (s + 1)} THEN {z}D" for s, z in sorted(limits.items())) + " ELSE 1e9D END" if limits else "1e9D"
+    cols = [*keep, "t"] if text else keep
+    tested = _battery(_spans(docs, keep), keep).select(*cols, "base", "tests")
+    tested = C.materialize(tested, "secrets")
+    fisher = _fisher(_text(tested))
+    stratum = F.floor(F.log2(F.col("m.n"))).cast("int")
+    bins = F.expr(f"CAST(CASE WHEN {_patterned()} THEN -1 ELSE floor({fisher} / {BIN}) END AS INT)")
+    counts = tested.select(F.explode("tests").alias("m")).where(f"m.n >= {LEAST}").groupBy(stratum.alias("stratum"), bins.alias("bin")).agg(F.count("*").alias("n"))
+    limits = _thresholds(counts.collect(), q)  # a few thousand rows at most: length classes by bins
+    least = "CASE " + " ".join(f"WHEN m.n >= {2**s} AND m.n < {2 ** (s + 1)} THEN {x}D" for s, x in sorted(limits.items())) + " ELSE 1e9D END" if limits else "1e9D"
     return tested.selectExpr(
-        *keep, "t",
+        *cols,
         f"""array_sort(concat(transform(base, m -> named_struct('s', m.s, 'k', m.k, 'e', m.e)),
-            transform(filter(tests, m -> NOT m.patterned AND m.z >= {least}), m -> named_struct('s', m.s, 'k', 3, 'e', m.e)))) AS spans""",
+            transform(filter(tests, m -> m.n >= {LEAST} AND NOT {_patterned()} AND floor({fisher} / {BIN}) * {BIN} >= {least}),
+                m -> named_struct('s', m.s, 'k', 3, 'e', m.e)))) AS spans""",
     )
 
 
@@ -182,35 +243,40 @@ def _joined(spans: str) -> str:
 
 
 def digest(docs: DataFrame, q: float = 0.01) -> DataFrame:
-    """One row per document: counts by kind, a hash of the base spans, and all spans."""
+    """One row per document: counts by kind, a hash of the base spans, all spans, and the number found by the battery.
+
+    Null and empty texts have no spans; null ids stay null; repeated rows are
+    each scanned; an empty table gives an empty result; other columns are ignored.
+    """
     kind = lambda i: f"CAST(size(filter(spans, m -> m.k = {i})) AS BIGINT)"
     base = _joined("filter(spans, m -> m.k < 3)")
     return scan(docs.select("doc_id", "text"), ["doc_id"], q).selectExpr(
-        "doc_id", f"{kind(0)} AS n_assign", f"{kind(1)} AS n_access", f"{kind(2)} AS n_hex", f"{kind(3)} AS n_random",
-        f"sha2({base}, 256) AS base_sha256", f"{_joined('spans')} AS spans",
+        "doc_id", f"{kind(0)} AS n_assign", f"{kind(1)} AS n_access", f"{kind(2)} AS n_hex",
+        f"sha2({base}, 256) AS base_sha256", f"{_joined('spans')} AS spans", f"{kind(3)} AS n_random",
     )
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", q: float = 0.01) -> DataFrame:
     """The documents with every span replaced by ``mask``; n_chars, where present, follows the text.
 
-    Documents without spans stay as they are, null texts included.
+    Documents without spans stay as they are, null texts included; repeated rows
+    are each masked; null ids and columns of any other name pass through; an
+    empty table gives an empty result. Texts are written once on the way.
     """
-    inner = docs.withColumnsRenamed({c: f"in_{i}" for i, c in enumerate(docs.columns)})
-    keep = inner.columns
-    found = scan(inner.withColumn("text", F.col(keep[docs.columns.index("text")])), keep, q)
+    own = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    keep = [v for c, v in own.items() if c != "text"] + ["had_text"]
+    inner = docs.withColumnsRenamed(own).withColumnRenamed(own["text"], "text").withColumn("had_text", F.col("text").isNotNull())
     fold = f"""aggregate(spans, named_struct('out', '', 'at', 0L),
         (a, m) -> if(m.e <= a.at, a, named_struct(
             'out', concat(a.out, if(m.s >= a.at, concat(substring(t, CAST(a.at + 1 AS INT), CAST(m.s - a.at AS INT)), '{mask}'), '')), 'at', m.e)),
         a -> concat(a.out, substring(t, CAST(a.at + 1 AS INT))))"""
-    text = f"in_{docs.columns.index('text')}"
-    found = found.selectExpr(*keep, f"CASE WHEN size(spans) = 0 THEN {text} ELSE {fold} END AS new_text")
+    found = scan(inner, keep, q, text=True).selectExpr(*keep, f"CASE WHEN NOT had_text THEN NULL WHEN size(spans) = 0 THEN t ELSE {fold} END AS new_text", "size(spans) > 0 AS changed")
     out = []
-    for i, c in enumerate(docs.columns):
+    for c, v in own.items():
         if c == "text":
             out.append(F.col("new_text").alias(c))
         elif c == "n_chars":
-            out.append(F.when(F.col("new_text").isNull(), F.col(f"in_{i}")).otherwise(F.length("new_text").cast(docs.schema[c].dataType)).alias(c))
+            out.append(F.when(F.col("changed"), F.length("new_text").cast(docs.schema[c].dataType)).otherwise(F.col(v)).alias(c))
         else:
-            out.append(F.col(f"in_{i}").alias(c))
+            out.append(F.col(v).alias(c))
     return found.select(*out)
