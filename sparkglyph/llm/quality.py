@@ -17,7 +17,7 @@ SYMBOLS = "#*$%&|<>"
 
 
 def measures(docs: DataFrame, host_col: str = "source") -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every whole text.
+    """doc_id, host, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words of every whole text.
 
     Null and blank texts count 0 throughout. Rows are neither merged nor dropped.
     """
@@ -36,16 +36,17 @@ def measures(docs: DataFrame, host_col: str = "source") -> DataFrame:
     windows = F.transform(F.sequence(F.lit(1), F.size("wh") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("wh", i, WINDOW)))
     third = second.select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols",
+        F.coalesce(F.size("lines"), F.when(F.col("n_words") > 0, 1).otherwise(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
         F.when(F.col("wh").isNotNull(), windows).alias("win"),
     )
     pairs = F.array_sort(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     fourth = third.select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
         F.when(F.size(F.array_distinct("win")) < F.size("win"), pairs).alias("s"),
     )
     return fourth.select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
         # windows that stand twice or more, by position; then the words they cover
         F.expr(f"""
             coalesce(aggregate(
@@ -66,16 +67,18 @@ def host_quality(
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_pct``
     percent of them in repeated windows. A document also fails a rule of its host
-    when over a third of its lines repeat, or symbols outnumber words. A host
-    whose shrunk failure rate exceeds ``max_host_rate`` loses all its documents.
+    when over a third of its lines repeat earlier ones, or symbols outnumber
+    words. A host whose shrunk failure rate exceeds ``max_host_rate`` loses all
+    its documents; one whose rate exceeds the prior's mean loses those that fail
+    any rule; on other hosts only base failures go.
 
-    Documents without a host are judged alone (host_rate null). Null or empty
+    Documents without a host are judged by the base rules alone (host_rate null). Null or empty
     texts have 0 words and fail; repeated rows are judged and returned each;
     an empty table gives an empty result; other columns are ignored.
     """
     m = C.materialize(measures(docs, host_col), "quality")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    fails = base | (F.col("n_symbols") > F.col("n_words")) | (3 * F.col("n_dup_lines") > F.col("n_words"))
+    fails = base | (F.col("n_symbols") > F.col("n_words")) | (3 * F.col("n_dup_lines") > F.col("n_lines"))
     m = m.withColumns({"base_failed": base, "rule_failed": fails})
     hosts = m.where(F.col("host").isNotNull()).groupBy("host").agg(
         F.count("*").alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("f")
@@ -90,10 +93,13 @@ def host_quality(
     spread = max(((t.q / t.n) - mean * mean) - mean * (1 - mean) * t.h / t.n, 1e-6) if t.n else 1.0
     strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
     rate = (F.col("f") + mean * strength) / (F.col("n") + strength)
-    verdicts = C.broadcast_if_small(hosts.select("host", rate.alias("host_rate")), t.h, 200)
+    # shrinking never moves a rate across the prior's mean, so the side it lies on is told by whole numbers
+    doubtful = F.col("f").cast("decimal(38,0)") * F.lit(t.n or 0) > F.col("n").cast("decimal(38,0)") * F.lit(t.f or 0)
+    verdicts = C.broadcast_if_small(hosts.select("host", rate.alias("host_rate"), doubtful.alias("doubtful")), t.h, 200)
+    rejected = F.coalesce("host_rate", F.lit(0.0)) > max_host_rate
     return m.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)).alias("kept"),
+        (~F.col("base_failed") & ~rejected & ~(F.col("rule_failed") & F.coalesce("doubtful", F.lit(False)))).alias("kept"),
     )
 
 
@@ -106,23 +112,23 @@ def oracle_sql() -> str:
             FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
     rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
     cov AS (SELECT r, CAST(count(DISTINCT i + k) AS BIGINT) AS n FROM rep, (SELECT unnest(range(0, 8)) AS k) GROUP BY r),
-    ln AS (SELECT r, CAST(count(*) - count(DISTINCT l) AS BIGINT) AS n
+    ln AS (SELECT r, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) - count(DISTINCT l) AS BIGINT) AS n
            FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)
            WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
     m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words,
                  CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-                 coalesce(ln.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+                 coalesce(ln.n, 0) AS n_dup_lines, coalesce(ln.lines, 0) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words
           FROM d JOIN w USING (r) LEFT JOIN ln USING (r) LEFT JOIN cov USING (r)),
     f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
                  n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols > n_words
-                 OR 3 * n_dup_lines > n_words AS rule_failed FROM m),
+                 OR 3 * n_dup_lines > n_lines AS rule_failed FROM m),
     hosts AS (SELECT host, count(*) AS n, sum(CAST(rule_failed AS BIGINT)) AS f FROM f WHERE host IS NOT NULL GROUP BY host),
     t AS (SELECT count(*) AS h, sum(n) AS n, sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS q FROM hosts),
     k AS (SELECT mean, least(greatest(mean * (1 - mean)
                  / greatest(q - mean * mean - mean * (1 - mean) * h / n, 1e-6) - 1, 1.0), 1e6) AS s FROM t),
-    v AS (SELECT host, (f + mean * s) / (n + s) AS rate FROM hosts, k)
+    v AS (SELECT host, (f + mean * s) / (n + s) AS rate, f * (SELECT sum(n) FROM hosts) > n * (SELECT sum(f) FROM hosts) AS doubtful FROM hosts, k)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND coalesce(rate, 0) <= 0.5 AS kept
+           NOT base_failed AND coalesce(rate, 0) <= 0.5 AND NOT (rule_failed AND coalesce(doubtful, false)) AS kept
     FROM f LEFT JOIN v USING (host)
     """
