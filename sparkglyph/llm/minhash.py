@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -31,6 +31,8 @@ PERMUTATIONS = 120
 #: 20 bands of minima and 20 of maxima, 6 rows each: a pair at 0.8 is missed once in 190,000 times.
 ROWS = 6
 WORD_CACHE = 200_000
+#: Members of a group that are held against its hub in one task, about.
+HUB_MEMBERS = 500
 
 
 class _Words(dict):
@@ -83,6 +85,15 @@ def bands(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _digest(x: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
+
+
+def _node(set_hash: str = "set_hash") -> Column:
+    """The number by which a set goes: half of its hash. Ids would not do, since one id may stand on several texts."""
+    return F.conv(F.hex(F.substring(set_hash, 1, 8)), 16, -10).cast("long")
+
+
 def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """doc_id, n_shingles, set_hash (null without shingles), bands."""
 
@@ -96,7 +107,7 @@ def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 for i, j in zip(at, at[1:]):
                     x = shingles(raw[i:j], width, words)
                     n.append(len(x))
-                    digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                    digest.append(_digest(x))
                     band.append(bands(x, a, b) if len(x) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "bands"]
@@ -105,35 +116,42 @@ def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, width: int) -> DataFrame:
-    """doc_id and shingle set of the wanted documents, from their whole texts."""
-    wanted = docs.join(C.broadcast_if_small(ids, n_ids, 24), "doc_id")
+def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
+    """rep and shingle set of the wanted sets (rep, doc_id), from whole texts of the documents named."""
+    ids = wanted.select("doc_id").distinct()
+    texts = docs.join(C.broadcast_if_small(ids, n_wanted, 24), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            for lo, hi, data, at in pieces(batch.column("text"), 1 << 20):
+            for _, _, data, at in pieces(batch.column("text"), 1 << 20):
                 raw = data.tobytes()
-                got = [shingles(raw[i:j], width, words).view(np.int64) for i, j in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                got = [shingles(raw[i:j], width, words) for i, j in zip(at, at[1:])]
+                names = [_digest(x) for x in got]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([x.view(np.int64) for x in got], pa.list_(pa.int64()))], names=["set_hash", "shingles"])
 
-    return wanted.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
+    got = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "set_hash binary, shingles array<long>")
+    # an id may stand on other texts too, and on repeated rows
+    got = got.where("set_hash IS NOT NULL").withColumn("rep", _node()).join(C.broadcast_if_small(wanted.select("rep"), n_wanted, 24), "rep", "left_semi")
+    return got.groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     pairs = C.materialize(pairs, "dedup-pairs")
-    both = pairs.join(sets.selectExpr("doc_id AS a", "shingles AS x"), "a").join(sets.selectExpr("doc_id AS b", "shingles AS y"), "b")
+    both = pairs.join(sets.selectExpr("rep AS a", "shingles AS x"), "a").join(sets.selectExpr("rep AS b", "shingles AS y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-    return C.materialize(links, "dedup-links")
+    links = C.materialize(links, "dedup-links")
+    C.discard(pairs)
+    return links
 
 
 def _shared(sets: DataFrame) -> DataFrame:
     """(rep, shared): how many shingles of each set are in another one as well; no intersection is larger."""
-    lone = sets.select("doc_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("doc_id").alias("rep")).where("k = 1")
+    lone = sets.select("rep", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).where("k = 1")
     lone = lone.groupBy("rep").agg(F.count("*").alias("lone"))
-    return sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(lone, "rep", "left").select("rep", (F.col("n") - F.coalesce("lone", F.lit(0))).cast("long").alias("shared"))
+    return sets.select("rep", F.size("shingles").alias("n")).join(lone, "rep", "left").select("rep", (F.col("n") - F.coalesce("lone", F.lit(0))).cast("long").alias("shared"))
 
 
 def _open_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,16 +168,27 @@ def _open_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: i
     parts = here.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").selectExpr("bucket", "m.c AS main")
     group = C.materialize(here.join(main, "bucket").select("main", "rep", "n", "shared", "c").distinct(), "dedup-open")
-    hubs = group.where("c = main").groupBy("main").agg(F.min_by("rep", F.struct(1 - F.col("shared") / F.col("n"), F.col("rep"))).alias("hub"))
-    held = group.join(hubs, "main").join(sets.selectExpr("doc_id AS rep", "shingles AS x"), "rep").join(sets.selectExpr("doc_id AS hub", "shingles AS y"), "hub")
+    hubs = group.groupBy("main").agg(
+        F.min_by("rep", F.when(F.col("c") == F.col("main"), F.struct(1 - F.col("shared") / F.col("n"), F.col("rep")))).alias("hub"), F.expr(f"CAST(ceil(count(*) / {HUB_MEMBERS}) AS INT)").alias("parts")
+    )
+    hubs = C.materialize(hubs, "dedup-hubs")
+    # a hub's set stands in as many copies as its members take tasks
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    mine = group.join(hubs, "main").withColumn("part", part).join(sets.selectExpr("rep", "shingles AS x"), "rep")
+    theirs = hubs.join(sets.selectExpr("rep AS hub", "shingles AS y"), "hub").select("main", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    held = mine.join(theirs, ["main", "part"])
     extra = F.array_except("x", "y")
-    held = C.materialize(held.select("main", "rep", "n", "c", extra.alias("extra"), (F.col("n") - F.size(extra)).alias("k")), "dedup-held")
-    few = held.where("c != main").selectExpr("main", "rep AS a", "n AS an", "c AS ac", "k AS ak", "extra AS ax")
-    rest = held.selectExpr("main", "rep AS b", "n AS bn", "c AS bc", "k AS bk", "extra AS bx")
+    # sets of sizes further apart than the similarity allows never meet: classes of size, a little wider than that, and the ones beside them
+    size = f"CAST(floor(ln(n) / (1.001 * ln(100 / {percent}D))) AS INT)" if percent < 100 else "CAST(n AS INT)"
+    held = C.materialize(held.select("main", "rep", "n", "c", extra.alias("extra"), (F.col("n") - F.size(extra)).alias("k"), F.expr(size).alias("size")), "dedup-held")
+    C.discard(here)
+    few = held.where("c != main").selectExpr("main", "rep AS a", "n AS an", "c AS ac", "k AS ak", "extra AS ax", "size")
+    rest = held.selectExpr("main", "rep AS b", "n AS bn", "c AS bc", "k AS bk", "extra AS bx", "size")
     apart = "ac != bc AND (bc = main OR a < b)"
     enough = f"100 * {{i}} >= {percent} * (an + bn - {{i}})"
-    plain = few.drop("ax").join(rest.drop("bx"), "main").where(apart).where(enough.format(i="least(ak, bk)"))
-    more = few.withColumn("h", F.explode("ax")).drop("ax").join(rest.withColumn("h", F.explode("bx")).drop("bx"), ["main", "h"]).where(apart)
+    near = few.drop("ax").withColumn("size", F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))))
+    plain = near.join(rest.drop("bx"), ["main", "size"]).where(apart).where(enough.format(i="least(ak, bk)"))
+    more = few.withColumn("h", F.explode("ax")).drop("ax", "size").join(rest.withColumn("h", F.explode("bx")).drop("bx", "size"), ["main", "h"]).where(apart)
     more = more.groupBy("main", "a", "b").agg(*(F.first(c).alias(c) for c in ("an", "bn", "ak", "bk")), F.count("*").alias("e")).where(enough.format(i="(least(ak, bk) + e)"))
     return plain.select("a", "b").union(more.select("a", "b")).distinct()
 
@@ -171,27 +200,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     is the smallest doc_id reachable, and its document alone is kept. Texts of
     fewer words than ``width`` have their whole sequence as one shingle. Null,
     empty and blank texts have no shingles and link with nothing. Repeated rows
-    share id and set, and so everything; rows with a null id link with nothing
-    and are kept. An empty table gives an empty result; other columns are ignored.
+    share id and set, and so everything; an id that stands on several texts is
+    several documents, each in its own component. Rows with a null id link with
+    nothing and are kept. An empty table gives an empty result; other columns
+    are ignored.
     """
     docs = docs.select("doc_id", "text")
     sig = C.materialize(signatures(docs, width, seed), "dedup-signatures")
     has = F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()
-    classes = C.materialize(
-        sig.where(has).groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "dedup-classes"
-    )
+    classes = sig.where(has).groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = C.materialize(classes.withColumn("rep", _node()).drop("set_hash"), "dedup-classes")
     entries = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     # buckets of two classes or more, and the sets of those in them
     entries = entries.select("rep", "n", F.xxhash64("band", "key").alias("bucket"))
     full = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = C.materialize(entries.join(full, "bucket"), "dedup-members")
-    ids = C.materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "dedup-ids")
-    sets = C.materialize(_sets(docs, ids, ids.count(), width), "dedup-sets")
-    sets = sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
-    members = C.materialize(members.join(_shared(sets), "rep"), "dedup-members")
+    first_members = C.materialize(entries.join(full, "bucket"), "dedup-members")
+    wanted = C.materialize(classes.select("rep", "doc_id").join(first_members.select("rep").distinct(), "rep"), "dedup-ids")
+    sets = C.materialize(_sets(docs, wanted, wanted.count(), width), "dedup-sets")
+    members = first_members.join(_shared(sets), "rep")
     # the first of a bucket is the member with the smallest share of shingles of its own
     first = members.groupBy("bucket").agg(F.min(F.struct((1 - F.col("shared") / F.col("n")).alias("own"), "rep", "n", "shared")).alias("f"))
     members = C.materialize(members.join(first, "bucket"), "dedup-members")
+    C.discard(first_members, wanted)
     # what sizes and shared shingles allow: an intersection of two sets is within the shared shingles of either
     fits = f"100 * least({{a}}k, {{b}}k) >= {percent} * ({{a}}n + {{b}}n - least({{a}}k, {{b}}k)) AND 100 * least({{a}}n, {{b}}n) >= {percent} * greatest({{a}}n, {{b}}n)"
     against = members.selectExpr("bucket", "rep AS a", "n AS an", "shared AS ak", "f.rep AS b", "f.own AS own", "f.n AS bn", "f.shared AS bk").where("a != b").where(fits.format(a="a", b="b"))
@@ -212,14 +242,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
         # what is known of the components stands for the links before
         links = comp.selectExpr("id AS a", "component AS b").union(_confirm(pairs, sets, percent))
     comp = C.materialize(connected(links), "dedup-components")
-    classes = classes.select("set_hash", "rep").join(comp.selectExpr("id AS rep", "component"), "rep", "left")
-    classes = C.materialize(classes.selectExpr("set_hash", "coalesce(component, rep) AS component"), "dedup-classes")
-    known = sig.where(has).select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash").selectExpr("doc_id", "n_shingles", "component AS component_id")
+    C.discard(members, sets)
+    found = classes.select("rep", "doc_id").join(comp.selectExpr("id AS rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = C.materialize(found.join(least, "component").select("rep", "component_id"), "dedup-found")
+    known = sig.where(has).select("doc_id", "n_shingles", _node().alias("rep")).join(found, "rep").select("doc_id", "n_shingles", "component_id")
     rest = sig.where(~has).selectExpr("doc_id", "n_shingles", "doc_id AS component_id")
     return known.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 3) -> DataFrame:
-    """The documents kept, with all their columns."""
-    found = near_duplicates(docs, width, percent, seed).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents kept, with all their columns.
+
+    A document stays when its id is the smallest of its component; all rows that
+    repeat a kept id stay, as they are one document. Null, empty and blank texts
+    and rows with a null id have no copies and stay; an empty table gives an
+    empty result; columns of any other name pass through.
+    """
+    found = near_duplicates(docs, width, percent, seed).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
