@@ -128,7 +128,7 @@ def train(docs: DataFrame, learnable, seed: int = 7) -> ByteCnn | None:
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts))
     steps = F.greatest(F.lit(1), F.floor(F.length("text") / WINDOWS_PER_DOC))
     cut = F.array(*(F.substring("text", (steps * k + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_PER_DOC)))
-    rows = good.where(draw < share).select("lang", "doc_id", F.filter(cut, lambda x: x.rlike(r"\p{L}")).alias("cut")).limit(2 * DOCS_IN_ALL).collect()
+    rows = good.where(draw < share).select("lang", "doc_id", F.filter(cut, lambda x: x.rlike(r"\p{L}")).alias("cut")).collect()  # DOCS_IN_ALL rows or a little over
     rows.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.cut))
     langs = sorted(counts)
     got = [(x.encode()[:WINDOW], langs.index(r.lang)) for r in rows for x in r.cut]

@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     links = _confirm(pairs, sets, percent)
     tried = pairs
     for step in ("firsts", "rest"):
-        comp = C.materialize(connected(links), "dedup-components")
+        if links is not None:
+            comp = C.materialize(connected(links), "dedup-components")
         if step == "firsts":
             pairs = against.join(comp.selectExpr("id AS a", "component AS ac"), "a", "left").join(comp.selectExpr("id AS b", "component AS bc"), "b", "left")
             pairs = pairs.where("coalesce(ac, a) != coalesce(bc, b)").select("a", "b").distinct()
@@ -240,8 +241,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried = tried.union(pairs)
         # what is known of the components stands for the links before
-        links = comp.selectExpr("id AS a", "component AS b").union(_confirm(pairs, sets, percent))
-    comp = C.materialize(connected(links), "dedup-components")
+        more = _confirm(pairs, sets, percent)
+        links = None if more.isEmpty() else comp.selectExpr("id AS a", "component AS b").union(more)
+    if links is not None:
+        comp = C.materialize(connected(links), "dedup-components")
     C.discard(members, sets)
     found = classes.select("rep", "doc_id").join(comp.selectExpr("id AS rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -101,14 +101,6 @@ def _spans(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.selectExpr(*keep, "t", *made)
 
 
-def _upper_tail(z: str) -> str:
-    """1 - Phi(z) of a column, to seven digits (rational approximation of the error function, fixed values)."""
-    t = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2D)))"
-    poly = f"{t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429))))"
-    half = f"(0.5 * {poly} * exp(-({z}) * ({z}) / 2))"
-    return f"greatest(if({z} >= 0, {half}, 1 - {half}), 1e-300D)"
-
-
 def _battery(df: DataFrame, keep: list[str]) -> DataFrame:
     """Adds base (spans of the fixed kinds) and tests: the statistics of each token that overlaps none of them.
 
@@ -184,7 +176,11 @@ def _fisher(text: dict[str, float]) -> str:
     var = max(text["serial_sq"] - text["serial"] ** 2, 1e-6) * (NEAR + LEAST - 1) / 2
     toward = 1.0 if text["serial"] < 0 else -1.0  # where randomness lies from what text shows
     serial = f"((m.serial - {text['serial']!r}D) * {toward}D / sqrt({var!r}D / m.n))"
-    return "(-2 * (" + " + ".join(f"ln({_upper_tail(z)})" for z in (uniform, runs, serial)) + "))"
+    # upper tails of the normal distribution to seven digits (rational approximation of the error function, fixed values)
+    t = "1 / (1 + 0.3275911 * abs(z) / sqrt(2D))"
+    half = "0.5 * y.t * (0.254829592 + y.t * (-0.284496736 + y.t * (1.421413741 + y.t * (-1.453152027 + y.t * 1.061405429)))) * exp(-y.z * y.z / 2)"
+    tail = f"greatest(if(y.z >= 0, {half}, 1 - {half}), 1e-300D)"
+    return f"aggregate(transform(array({uniform}, {runs}, {serial}), z -> named_struct('z', z, 't', {t})), 0D, (a, y) -> a - 2 * ln({tail}))"
 
 
 def _patterned() -> str:
@@ -223,17 +219,16 @@ def scan(docs: DataFrame, keep: list[str], q: float = 0.01, text: bool = False)
     cols = [*keep, "t"] if text else keep
     tested = _battery(_spans(docs, keep), keep).select(*cols, "base", "tests")
     tested = C.materialize(tested, "secrets")
-    fisher = _fisher(_text(tested))
+    bins = f"CAST(CASE WHEN {_patterned()} THEN -1 ELSE floor({_fisher(_text(tested))} / {BIN}) END AS INT)"
+    tested = tested.withColumn("found", F.expr(f"transform(filter(tests, m -> m.n >= {LEAST}), m -> named_struct('s', m.s, 'k', 3, 'e', m.e, 'n', m.n, 'bin', {bins}))"))
     stratum = F.floor(F.log2(F.col("m.n"))).cast("int")
-    bins = F.expr(f"CAST(CASE WHEN {_patterned()} THEN -1 ELSE floor({fisher} / {BIN}) END AS INT)")
-    counts = tested.select(F.explode("tests").alias("m")).where(f"m.n >= {LEAST}").groupBy(stratum.alias("stratum"), bins.alias("bin")).agg(F.count("*").alias("n"))
+    counts = tested.select(F.explode("found").alias("m")).groupBy(stratum.alias("stratum"), F.col("m.bin").alias("bin")).agg(F.count("*").alias("n"))
     limits = _thresholds(counts.collect(), q)  # a few thousand rows at most: length classes by bins
     least = "CASE " + " ".join(f"WHEN m.n >= {2**s} AND m.n < {2 ** (s + 1)} THEN {x}D" for s, x in sorted(limits.items())) + " ELSE 1e9D END" if limits else "1e9D"
     return tested.selectExpr(
         *cols,
         f"""array_sort(concat(transform(base, m -> named_struct('s', m.s, 'k', m.k, 'e', m.e)),
-            transform(filter(tests, m -> m.n >= {LEAST} AND NOT {_patterned()} AND floor({fisher} / {BIN}) * {BIN} >= {least}),
-                m -> named_struct('s', m.s, 'k', 3, 'e', m.e)))) AS spans""",
+            transform(filter(found, m -> m.bin * {BIN} >= {least}), m -> named_struct('s', m.s, 'k', m.k, 'e', m.e)))) AS spans""",
     )
 
 

@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> WordCnn | None:
     share = F.when(F.col("toxic") == 1, min(parts, TRAIN_DOCS // 2 * parts // n[1])).otherwise(min(parts, TRAIN_DOCS // 2 * parts // n[0]))
     drawn = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)) < share)
     drawn = C.broadcast_if_small(drawn, TRAIN_DOCS, 40)
-    rows = _words_of(docs.join(drawn, "doc_id").limit(2 * TRAIN_DOCS)).collect()
+    rows = _words_of(docs.join(drawn, "doc_id")).collect()  # TRAIN_DOCS rows or a little over
     if len({r.toxic for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.ids))

@@ -417,6 +417,171 @@ def test_oracle(spark, name):
     assert norm(Q.queries()[name](spark, str(SF)).toPandas()) == norm(con.execute(Q.oracle_sql()[name]).df())
 
 
+def test_dedup_ids_on_several_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (2, one), (2, two), (3, two), (3, three), (4, three), (5, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df, 2, 80).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, 3), (5, 5)]
+
+
+def test_random_secrets_recall(spark):
+    rng = np.random.default_rng(11)
+    syllables = "the tion ing er lich keit heit ung ver sch ein elle eau aux ment que re on an ti st ha".split()
+    def word(least, most):
+        while True:
+            w = "".join(rng.choice(syllables, int(rng.integers(4, 10))))
+            if least <= len(w) <= most:
+                return w.capitalize() if rng.random() < 0.1 else w
+    cases = {16: (20, 32, 64), 32: (20, 32, 64), 36: (20, 32, 64), 62: (20, 32, 64), 64: (20, 32, 64), 26: (128,)}
+    rows, want = [(i, f"some {word(20, 30)} text {word(16, 19)} {word(16, 19)}") for i in range(200)], {}
+    for k, lengths in cases.items():
+        for n in lengths:
+            for _ in range(25):
+                symbols = secret_scan.ALPHABETS[k].upper() if k == 16 else secret_scan.ALPHABETS[k]
+                want[len(rows)] = (k, n)
+                rows.append((len(rows), "key " + "".join(rng.choice(list(symbols), n)) + " end"))
+    got = {r.doc_id: r for r in secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = Counter(v for i, v in want.items() if got[i].n_random)
+    assert all(found[v] >= 0.9 * n for v, n in Counter(want.values()).items()), found
+    assert not any(got[i].n_random for i in range(200))
+
+
+def test_upper_tail_and_fisher(spark):
+    text = {"pair": 0.08, "triple": 0.008, "switch": 0.02, "serial": -0.05, "serial_sq": 0.05}
+    tokens = [(20.0, 6.0, 0.0, 8.0, 0.1), (40.0, 130.0, 40.0, 0.0, -0.2), (64.0, 60.0, 3.0, 30.0, 0.0)]
+    df = spark.createDataFrame([(t,) for t in tokens], "m struct<n: double, pair: double, triple: double, switch: double, serial: double>")
+    got = [r.x for r in df.select(F.expr(secret_scan._fisher(text)).alias("x")).collect()]
+    for (n, pair, _, switch, serial), x in zip(tokens, got):
+        sd = math.sqrt(2 * n * (n - 1) * 0.08 * 0.92 + 4 * n * (n - 1) * (n - 2) * (0.008 - 0.0064))
+        var = (0.05 - 0.0025) * 17.5
+        zs = [(n * (n - 1) * 0.08 - pair) / sd, (switch - (n - 1) * 0.02) / math.sqrt((n - 1) * 0.02 * 0.98), (serial + 0.05) / math.sqrt(var / n)]
+        assert x == pytest.approx(-2 * sum(math.log(0.5 * math.erfc(z / math.sqrt(2))) for z in zs), rel=1e-2)
+
+
+def test_hosts_are_judged(spark):
+    good, bad = " ".join(f"w{j}" for j in range(40)), " ".join(f"#{j}$%&" for j in range(40))
+    rows = [(i, good, "fine") for i in range(60)] + [(100, bad, "fine")]
+    rows += [(200 + i, good if i % 3 else bad, "doubtful") for i in range(60)] + [(300 + i, bad, "spam") for i in range(20)] + [(399, good, "spam")]
+    rows += [(400, "a\n" * 12 + good, "fine"), (401, "a\n" * 12 + good, "doubtful")]
+    kept = {r.doc_id: r.kept for r in quality.host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert kept[100] and all(kept[i] for i in range(60))  # a good host answers for its odd document
+    assert not any(kept[200 + i] for i in range(0, 60, 3)) and all(kept[200 + i] for i in range(60) if i % 3)
+    assert not kept[399] and not kept[300] and kept[400] and not kept[401]
+
+
+def test_regions_follow_the_clusters():
+    def plain(scores, headings):
+        """By trying every cut of the sorted scores."""
+        order = sorted(scores)
+        cuts = [(i, np.mean(order[i:]) - np.mean(order[:i])) for i in range(1, len(order)) if order[i] > order[i - 1]]
+        cuts = [(i, g) for i, g in cuts if g >= htmltext.APART]
+        least = order[max(cuts, key=lambda c: c[1] ** 2 * c[0] * (len(order) - c[0]))[0]] if cuts else order[0]
+        got = "".join("1" if s >= least else "0" for s in scores)
+        while (new := re.sub("10{1,%d}(?=1)" % htmltext.GAP, lambda m: "1" * len(m[0]), got)) != got:
+            got = new
+        out = [c == "1" for c in got]
+        for i in reversed(range(len(out) - 1)):
+            out[i] = out[i] or (headings[i] and out[i + 1])
+        return out
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 15))
+        scores, headings = list(rng.choice([0.1, 0.5, 1.0, 3.0, 4.5, 6.0], n) + rng.random(n) / 100), list(rng.random(n) < 0.2)
+        assert htmltext.regions(scores, headings) == plain(scores, headings)
+
+
+def test_long_and_odd_pages(spark):
+    story = "A sentence of the story goes here. " * 8
+    page = "<nav>" + "<a>x</a>" * 50 + "</nav><article>" + f"<p>{story}</p>" * 3000 + "</article><div class='related'><p>more</p></div>"
+    assert htmltext.extract(page) == " ".join([story.strip()] * 3000)
+    assert htmltext.extract(f"<div class='layout has-sidebar'><p>{story}</p></div><div class='sidebar'>side</div>") == story.strip()
+    assert htmltext.extract(f"<div class='sidebar'><p>{story}</p></div><p>and</p>") == story.strip()  # a name does not outweigh most of the text
+    assert htmltext.extract(f"<article><p>{story}</p><figure><img><figcaption>Caption</figcaption></figure><p class='teaser'>{story}</p></article>") == f"{story.strip()} Caption {story.strip()}"
+    df = spark.createDataFrame([(1, "u", f"<p>{story}", "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in htmltext.extract_pages(df).collect()] == [(1, "u", story.strip(), len(story.strip()))]
+
+
+def test_stages_against_brute_force(spark, monkeypatch):
+    """Each stage of the pipeline on the same input as a plain version of it."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(9)
+    vocab = {"en": "the river runs over cold stones while birds sing above water and trees".split(), "de": "der fluss läuft über kalte steine während vögel über dem wasser singen".split()}
+    rows = []
+    for i in range(120):
+        lang = "en" if i % 2 else "de"
+        text = " ".join(rng.choice(vocab[lang], int(rng.integers(15, 60))))
+        rows.append((i, text, lang if i % 7 else None, f"s{i % 4}" if i % 11 else None, len(text)))
+    rows += [(200 + i, rows[i][1] + (" extra" if i % 2 else ""), rows[i][2], "s0", None) for i in range(20)]
+    rows += [(300, None, "en", "s1", None), (301, "12 34 56", "en", "s1", 8), (302, "token: abcdef123456 " + rows[3][1], "en", "s2", 99)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    again = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    stage = dict(P.STAGES)
+
+    first = again(stage["language_id"](spark, docs, ""))
+    want = {r[0]: r for r in rows if r[1] is not None and re.search(r"[^\W\d_]", r[1])}
+    assert {r.doc_id: tuple(r)[:2] for r in first.collect()} == {i: r[:2] for i, r in want.items()}
+    assert all(r.lang == (want[r.doc_id][2] or r.lang) and r.lang in ("en", "de") for r in first.collect())
+
+    second = again(stage["near_dedup"](spark, first, ""))
+    comp, _ = brute_components([(r.doc_id, r.text) for r in first.collect()], 5, 80)
+    assert sorted(r.doc_id for r in second.collect()) == sorted(i for i, c in comp.items() if i == c)
+
+    third = again(stage["secret_scan"](spark, second, ""))
+    def masked(text):
+        at, out = 0, ""
+        for s, _, e in base_spans(text):
+            if e > at:
+                out, at = out + (text[at:s] + "[SECRET]" if s >= at else ""), e
+        return out + text[at:]
+    before = {r.doc_id: r for r in second.collect()}
+    assert all(r.text == masked(before[r.doc_id].text) for r in third.collect()) and third.count() == len(before)
+
+    fourth = again(stage["mixing"](spark, third, ""))
+    size, source = Counter(), {r.doc_id: r.source for r in third.collect()}
+    texts = {r.doc_id: WORD.findall(r.text) for r in third.collect()}
+    for i, w in texts.items():
+        size[source[i]] += len(w)
+    taken, cut = Counter(), Counter()
+    for r in fourth.collect():
+        w = WORD.findall(r.text)
+        assert w == texts[r.doc_id][: len(w)] and w
+        taken[r.source] += len(w)
+        cut[r.source] += len(w) < len(texts[r.doc_id])
+    assert all(abs(taken[s] - t) <= 1 for s, t in water(size).items()) and all(n <= 1 for n in cut.values())  # only a source's last pass is cut
+    passes = Counter(r.doc_id for r in fourth.collect())
+    assert all(abs(passes[i] - passes[j]) <= 1 for i in texts for j in texts if source[i] == source[j])
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    fifth = stage["packing"](spark, fourth, "").collect()
+    lengths = Counter((r.doc_id, len(tok.encode(r.text, add_special_tokens=False).ids) + 1) for r in fourth.collect())
+    pieces = Counter()
+    for r in fifth:
+        pieces[r.doc_id, r.doc_tokens] += r.length
+    assert pieces == {k: k[1] * n for k, n in lengths.items()}
+
+
+def test_stages_free_what_earlier_ones_wrote(spark, docs, tmp_path):
+    import corpus_pipeline as P
+
+    stage = dict(P.STAGES)
+    lazy = stage["near_dedup"](spark, docs, "")
+    left = P._LEFT[spark.sparkContext.applicationId]
+    written = list(left)
+    assert written
+    masked = stage["secret_scan"](spark, lazy, "")  # still reads what the stage before wrote
+    masked.write.parquet(str(tmp_path / "masked"))
+    reread = spark.read.parquet(str(tmp_path / "masked"))
+    stage["mixing"](spark, reread, "").count()
+    assert not set(written) & set(left)
+
+
 def test_pipeline_edges(spark, edges, empty):
     import corpus_pipeline as P
 
