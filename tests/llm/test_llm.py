@@ -222,16 +222,65 @@ def test_language_model(docs, edges, empty):
 
 
 def test_seating():
+    def plain(c, parent, others, d, rng):
+        """A coin for every customer."""
+        t = 1
+        for n in range(1, c):
+            w = (pitman_yor.STRENGTH + d * (others + t)) * parent
+            t += rng.random() < w / (n - d * t + w)
+        return t
+
     rng = np.random.default_rng(0)
-    c = np.array([1.0, 2, 50, 5000, 0])
-    many = np.array([pitman_yor.seat(c, np.full(5, 0.1), np.full(5, 3.0), 0.6, rng.integers(0, 2**63, 5).astype(np.uint64), s) for s in range(400)])
-    assert (many <= c).all() and (many[:, 0] == 1).all() and (many[:, 4] == 0).all()
-    # two customers: the second opens a table with probability 0.3 / (1 - 0.6 + 0.3)
-    assert many[:, 1].mean() == pytest.approx(1 + 0.3 / 0.7, abs=0.08)
+    for c, parent, others, d in ((1, 0.3, 5, 0.6), (2, 0.1, 3, 0.6), (30, 0.5, 2, 0.8), (300, 0.02, 40, 0.5), (300, 0.9, 0, 0.1)):
+        draws = 3000
+        got = pitman_yor.seat(np.full(draws, float(c)), np.full(draws, parent), np.full(draws, float(others)), d, rng)
+        want = np.array([plain(c, parent, others, d, rng) for _ in range(draws)])
+        assert (got >= 1).all() and (got <= c).all()
+        assert got.mean() == pytest.approx(want.mean(), abs=5 * (want.std() + 1e-9) / math.sqrt(draws) + 1e-9) and got.std() == pytest.approx(want.std(), rel=0.15, abs=0.03)
+    assert pitman_yor.seat(np.zeros(3), np.ones(3), np.zeros(3), 0.5, rng).sum() == 0
     p = 10.0 ** pitman_yor.class_model(np.array([5, 300, 300 * 256 + 7]), np.array([3.0, 1, 2]), 1)
     assert p.sum(axis=1) == pytest.approx(np.ones(len(p)), abs=1e-3)
 
 
+def test_dishes_take_turns(monkeypatch):
+    """Each dish sees the tables that the ones before it in its restaurant have just opened."""
+    seen = []
+    def fake(c, parent, others, d, rng):
+        seen.append(others.tolist())
+        return c  # a table for every customer
+    monkeypatch.setattr(pitman_yor, "seat", fake)
+    t = pitman_yor.sweep(np.array([0, 0, 0, 4]), np.array([2.0, 3, 4, 5]), np.ones(4), np.ones(4), 0.5, None)
+    assert t.tolist() == [2, 3, 4, 5] and seen == [[2.0, 0.0], [3.0], [5.0]]
+
+
+def test_scores_by_brute_force(spark):
+    """The score of each text, from the model as stated, with nothing distributed."""
+    rng = np.random.default_rng(6)
+    vocab = ["the", "river", "runs", "cold", "stone", "Birds", "sing", "above", "water", "tree"]
+    rows = [(i, " ".join(rng.choice(vocab, int(rng.integers(0, 12))))) for i in range(60)] + [(70, "never seen words"), (71, None)]
+    got = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    classes, cells, words = pitman_yor.Classes(), Counter(), Counter()
+    tokens = {i: [w.lower().encode() for w in (t or "").split()] + [pitman_yor.END] for i, t in rows}
+    def keys(t):
+        k = [0, 0, *(classes[w] for w in t)]
+        return [((k[j] % pitman_yor.FOLDED) * pitman_yor.N_DISH + k[j + 1]) * pitman_yor.N_DISH + k[j + 2] for j in range(len(t))]
+    for i, t in tokens.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            cells.update(keys(t))
+            words.update(t)
+    after = pitman_yor.class_model(np.array(sorted(cells)), np.array([float(cells[k]) for k in sorted(cells)]), 17).ravel()
+    d = pitman_yor.discount_of(sum(n == 1 for n in words.values()), sum(n == 2 for n in words.values()))
+    by = defaultdict(list)
+    for w, n in words.items():
+        by[classes[w]].append(n)
+    for i, t in tokens.items():
+        want = sum(float(after[k]) for k in keys(t))
+        for w in t:
+            mine = by[classes[w]]
+            want += math.log10((words[w] - d if words[w] else pitman_yor.STRENGTH + d * len(mine)) / (pitman_yor.STRENGTH + sum(mine)))
+        assert got[i].score == pytest.approx(want, abs=1e-4)
+
+
 def test_class_contexts_of_colliding_words():
     # both end in the same one of 255 classes, as once taken
     a, b = (np.array([pitman_yor.Classes()[w], 0]) for w in (b"aam", b"abl"))
