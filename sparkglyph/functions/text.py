@@ -36,9 +36,10 @@ def letters_only(x: Column) -> Column:
 
 def tokenize(x: Column) -> Column:
     """SF-05: tokens of the letters of a text, contractions taken apart."""
-    raw = F.filter(F.split(letters_only(x), r"\s+"), lambda t: t != "")
+    raw = F.filter(F.split(x, r"\P{L}+"), lambda t: t != "")
     table = F.create_map(*[v for k, ws in CONTRACTIONS.items() for v in (F.lit(k), F.array(*map(F.lit, ws)))])
-    return F.flatten(F.transform(raw, lambda t: F.coalesce(F.try_element_at(table, F.lower(t)), F.array(t))))
+    apart = F.flatten(F.transform(raw, lambda t: F.coalesce(F.try_element_at(table, F.lower(t)), F.array(t))))
+    return F.when(x.rlike(f"(?i)({'|'.join(CONTRACTIONS)})"), apart).otherwise(raw)
 
 
 def drop_short(tokens: Column, threshold: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from .scratch import cut
 
 #: Permission groups: fixed values.
 GROUPS = {
@@ -53,24 +54,28 @@ def image_widgets(*producers: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def propagate(pairs: DataFrame, groups: DataFrame, most: int = 4) -> DataFrame:
+def propagate(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """JN-03: members of a group take over the widgets of its head, in place of their own.
 
     groups: app, ord, head, images. Groups apply in order, so a member's last
     group decides, and a head that an earlier group overwrote hands on what it
-    got. Heads are followed to the image whose own widgets count; an image that
-    is only a head keeps its widgets. ``most`` bounds the length of such chains.
+    got. Heads are followed to the image whose own widgets count, however long
+    the chain (each step leads to an earlier group); an image that is only a head
+    keeps its widgets.
     """
     steps = groups.select("app", "ord", "head", F.explode("images").alias("member"))
     # origin of each member: walk from its last group to the head's last earlier group, and so on
     last = steps.groupBy("app", "member").agg(F.max_by("head", "ord").alias("head"), F.max("ord").alias("ord"))
-    walk = last.select("app", "member", F.col("head").alias("origin"), "ord")
-    for _ in range(most):
-        earlier = steps.select("app", F.col("member").alias("origin"), F.col("head").alias("next"), F.col("ord").alias("next_ord"))
-        step = walk.join(earlier, ["app", "origin"], "left").groupBy("app", "member", "origin", "ord").agg(
+    walk = last.select("app", "member", F.col("head").alias("origin"), "ord", F.lit(True).alias("open"))
+    earlier = cut(steps.select("app", F.col("member").alias("origin"), F.col("head").alias("next"), F.col("ord").alias("next_ord")))
+    while True:
+        step = walk.where("open").join(earlier, ["app", "origin"], "left").groupBy("app", "member", "origin", "ord").agg(
             F.max(F.when(F.col("next_ord") < F.col("ord"), F.struct("next_ord", "next"))).alias("n")
         )
-        walk = step.select("app", "member", F.coalesce("n.next", "origin").alias("origin"), F.coalesce("n.next_ord", "ord").alias("ord"))
+        step = step.select("app", "member", F.coalesce("n.next", "origin").alias("origin"), F.coalesce("n.next_ord", "ord").alias("ord"), F.col("n").isNotNull().alias("open"))
+        walk = cut(walk.where("NOT open").unionByName(step))
+        if walk.where("open").isEmpty():
+            break
     heads = pairs.withColumnRenamed("image", "origin")
     # a head without widgets of its own hands on none, and its members keep theirs
     taken = walk.join(heads, ["app", "origin"]).select("app", F.col("member").alias("image"), *WIDGET)
@@ -103,7 +108,8 @@ def handler_permissions(pairs: DataFrame, reach: DataFrame, permissions: DataFra
     """JN-02, JN-04, JN-05, GR-03: associated rows with the methods that each handler reaches and their permissions.
 
     Equi-joins on what a handler really reaches; pairing each handler with every
-    method of its app is deliberately left out. reach: (app, handler, method).
+    method of its app is deliberately left out. reach: (app, handler, method),
+    permissions: (method, permission), what the platform's methods need in any app.
     """
     rows = pairs.withColumn("handler", F.explode("handlers")).drop("handlers")
     reached = reach.join(permissions, "method")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
 from . import association as A
+from .scratch import running
 
 PAD, UNK = 0, 1
 
@@ -41,11 +42,12 @@ def raw_vocabulary(rows: DataFrame, tokens: str) -> DataFrame:
 def vocabulary(rows: DataFrame, key: str, tokens: str, min_support: int) -> DataFrame:
     """AGG-06, WIN-05: (token, id): tokens that occur more often than ``min_support``, numbered from 2 in the order first seen.
 
-    Only the vocabulary itself is sorted, not the occurrences.
+    Only the vocabulary itself is sorted, not the occurrences, and in ranges.
     """
     seen = rows.select(key, F.posexplode(tokens).alias("pos", "token"))
     counts = seen.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(key, "pos")).alias("first")).where(F.col("n") > min_support)
-    return counts.select("token", (F.row_number().over(Window.orderBy("first")) + 1).alias("id"))
+    ranked = running(counts.select("token", "first"), [], ["first"], {"id": F.lit(1)})
+    return ranked.select("token", (F.col("id") + 2).cast("int").alias("id"))
 
 
 def index_tokens(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
@@ -70,17 +72,13 @@ def encode_labels(labels: Column, names: list[str]) -> Column:
 def split_exact(rows: DataFrame, key: str, ratios: dict[str, float], seed: int = 0) -> DataFrame:
     """SRT-04, SF-26: parts of exactly floor(n * ratio) rows in a seeded order; the last takes the rest.
 
-    Only ranks near the pivots need an order: rows get their rank from counts of
-    hash ranges and a sort within each range.
+    Rows get their rank from counts of ranges of the order and a sort within each
+    range; there are as many ranges as shuffle partitions.
     """
     total = sum(ratios.values())
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
-    rows = rows.withColumn("__h", h).withColumn("__r", F.shiftright("__h", 52))
-    counts = rows.groupBy("__r").agg(F.count("*").alias("n"))
-    before = counts.select("__r", F.coalesce(F.sum("n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("n").over(Window.partitionBy()).alias("__n"))
-    rows = rows.join(F.broadcast(before), "__r")  # 256 rows at most
-    rank = F.row_number().over(Window.partitionBy("__r").orderBy("__h", key)) - 1 + F.col("__before")
-    rows = rows.withColumn("__rank", rank)
+    rows = running(rows.withColumn("__h", h), [], ["__h", key], {"__rank": F.lit(1)})
+    rows = rows.withColumn("__n", F.lit(rows.count()))
     part, at = F.lit(list(ratios)[-1]), 0.0
     edges = []
     for name, ratio in list(ratios.items())[:-1]:
@@ -90,7 +88,7 @@ def split_exact(rows: DataFrame, key: str, ratios: dict[str, float], seed: int =
         high = low + F.floor(F.col("__n") * F.lit(ratio))
         out = F.when((F.col("__rank") >= low) & (F.col("__rank") < high), name).otherwise(out)
         low = high
-    return rows.withColumn("part", out).drop("__h", "__r", "__before", "__n", "__rank")
+    return rows.withColumn("part", out).drop("__h", "__n", "__rank")
 
 
 def preprocess(rows: DataFrame, key: str, stop: list[str], min_support: int, length: int, least: int = 5, ratio: float = 10) -> tuple[DataFrame, DataFrame]:

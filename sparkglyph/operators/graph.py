@@ -1,21 +1,16 @@
-"""Graph operators on edge tables (src, dst). Closures are semi-naive loops: the frontier joins the edges and what was seen is left out."""
+"""Graph operators on edge tables (src, dst), or (app, src, dst) of several apps. Closures are semi-naive loops: the frontier joins the edges and what was seen is left out."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut as _cut
+
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the cluster's shared folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext._jsc.sc()
-    if not sc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix=f"sparkglyph-{uuid.uuid4().hex[:8]}-"))
-    return df.checkpoint()
+def _scope(edges: DataFrame) -> list[str]:
+    """Graphs of several apps in one table never meet: with an `app` column, every step stays within it."""
+    return ["app"] if "app" in edges.columns else []
 
 
 def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, include_start: bool = False) -> DataFrame:
@@ -24,12 +19,13 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, include_
     Cycles and self-loops end by themselves. A start is not its own result
     unless ``include_start``, even where a cycle leads back to it.
     """
-    edges = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct()
-    seen = _cut(starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    k = _scope(edges)
+    edges = edges.select(*k, F.col("src").alias("node"), F.col("dst").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct()
+    seen = _cut(starts.select(*k, F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
     frontier, depth = seen, 0
     while most is None or depth < most:
         depth += 1
-        new = frontier.join(edges, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        new = frontier.join(edges, [*k, "node"]).select(*k, "start", F.col("next").alias("node")).distinct().join(seen, [*k, "start", "node"], "left_anti")
         frontier = _cut(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -40,14 +36,15 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, include_
 def handler_reach(edges: DataFrame, handlers: DataFrame, component_entries: DataFrame | None = None) -> DataFrame:
     """GR-02 with the root rule: nodes that call `startActivity(` expand only for handlers that have an inter-component entry.
 
-    edges: (src, dst) by signature; handlers: (handler); component_entries: (handler).
+    edges: (app, src, dst) by signature; handlers: (app, handler); component_entries: (app, handler).
     """
+    k = _scope(edges)
     closed = edges.where(~F.col("src").contains("startActivity("))
-    plain = handlers if component_entries is None else handlers.join(component_entries, "handler", "left_anti")
-    out = reach(closed, plain.select(F.col("handler").alias("start")))
+    plain = handlers if component_entries is None else handlers.join(component_entries, [*k, "handler"], "left_anti")
+    out = reach(closed, plain.select(*k, F.col("handler").alias("start")))
     if component_entries is not None:
-        out = out.unionByName(reach(edges, handlers.join(component_entries, "handler", "left_semi").select(F.col("handler").alias("start"))))
-    return out.select(F.col("start").alias("handler"), F.col("node").alias("method"))
+        out = out.unionByName(reach(edges, handlers.join(component_entries, [*k, "handler"], "left_semi").select(*k, F.col("handler").alias("start"))))
+    return out.select(*k, F.col("start").alias("handler"), F.col("node").alias("method"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -90,10 +87,22 @@ def callbacks(closed: DataFrame, framework: DataFrame, app: DataFrame, instantia
     return over.select("class", "subsig").distinct().join(instantiated, "class", "left_anti")
 
 
+#: Type kinds by the framework class at their root: fixed values.
+KINDS = {"view": "android.view.View", "menu": "android.view.Menu", "dialog": "android.app.Dialog", "activity": "android.app.Activity"}
+
+
+def type_kinds(closed: DataFrame) -> DataFrame:
+    """GR-06: (sub, kind): what each class is by the framework class above it; a class may be of several kinds."""
+    spark = closed.sparkSession
+    roots = spark.createDataFrame([(root, kind) for kind, root in KINDS.items()], "super string, kind string")
+    return closed.join(F.broadcast(roots), "super").select("sub", "kind").distinct()  # one row per kind
+
+
 def caller_edges(statements: DataFrame) -> DataFrame:
-    """GR-01, FLT-19: distinct (src, dst, role) from invoke statements (method, stmt)."""
+    """GR-01, FLT-19: distinct (app, src, dst, role) from invoke statements (app, method, stmt)."""
+    k = _scope(statements)
     dst = F.regexp_extract("stmt", "(<.*>)", 1)
-    rows = statements.where(F.col("stmt").contains("invoke") & (dst != "")).select(F.col("method").alias("src"), dst.alias("dst"))
+    rows = statements.where(F.col("stmt").contains("invoke") & (dst != "")).select(*k, F.col("method").alias("src"), dst.alias("dst"))
     role = (
         F.when(F.col("dst").contains("sendMessage("), "message")
         .when(F.col("dst").rlike(r"execute(OnExecutor)?\("), "async")
@@ -106,37 +115,40 @@ def caller_edges(statements: DataFrame) -> DataFrame:
 
 
 def thread_edges(edges: DataFrame, methods: DataFrame) -> DataFrame:
-    """JN-09: callers of a class's `start()` to the `run()` of the same class, by an equi-join on the class."""
+    """JN-09: callers of a class's `start()` to the `run()` of the same class of their app, by an equi-join on the class."""
+    k = _scope(edges)
     cls = lambda c: F.regexp_extract(c, "^<([^:]+):", 1)
-    start = edges.where(F.col("dst").contains("void start()")).select("src", cls(F.col("dst")).alias("class"))
-    run = methods.where(F.col("method").contains("void run()")).select(F.col("method").alias("dst"), cls(F.col("method")).alias("class"))
-    return start.join(run, "class").select("src", "dst").distinct()
+    start = edges.where(F.col("dst").contains("void start()")).select(*k, "src", cls(F.col("dst")).alias("class"))
+    run = methods.where(F.col("method").contains("void run()")).select(*k, F.col("method").alias("dst"), cls(F.col("method")).alias("class"))
+    return start.join(run, [*k, "class"]).select(*k, "src", "dst").distinct()
 
 
 def implicit_edges(edges: DataFrame, methods: DataFrame, call: str, target: str) -> DataFrame:
-    """JN-10 to JN-12: every caller of a method matching ``call`` to every method matching ``target``.
+    """JN-10 to JN-12: every caller of a method matching ``call`` to every method of its app matching ``target``.
 
-    The pairs go through one hub node, so they are stored as callers + targets;
-    closures over them reach the same methods one step later.
+    The pairs go through one hub node for each app, so they are stored as callers +
+    targets; closures over them reach the same methods one step later.
     """
-    hub = F.lit(f"hub:{call}->{target}")
-    into = edges.where(F.col("dst").rlike(call)).select("src", hub.alias("dst")).distinct()
-    out = methods.where(F.col("method").rlike(target)).select(hub.alias("src"), F.col("method").alias("dst")).distinct()
+    k = _scope(edges)
+    hub = F.concat(F.lit(f"hub:{call}->{target}"), *([F.lit("@"), F.col("app")] if k else []))
+    into = edges.where(F.col("dst").rlike(call)).select(*k, "src", hub.alias("dst")).distinct()
+    out = methods.where(F.col("method").rlike(target)).select(*k, hub.alias("src"), F.col("method").alias("dst")).distinct()
     return into.unionByName(out)
 
 
 def component_edges(edges: DataFrame, methods: DataFrame, targets: DataFrame, first_only: bool = True) -> DataFrame:
-    """JN-13, JN-18: callers of `startActivity(` to onCreate of their target classes that exist. targets: (method, ord, class)."""
+    """JN-13, JN-18: callers of `startActivity(` to onCreate of their target classes that exist in the app. targets: (app, method, ord, class)."""
+    k = _scope(edges)
     if first_only:
-        targets = targets.groupBy("method").agg(F.min_by("class", "ord").alias("class"))
-    callers = edges.where(F.col("dst").contains("startActivity(")).select("src").distinct()
-    rows = callers.join(targets, F.col("src") == F.col("method")).select("src", F.format_string("<%s: void onCreate(android.os.Bundle)>", "class").alias("dst"))
-    return rows.join(methods.select(F.col("method").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+        targets = targets.groupBy(*k, "method").agg(F.min_by("class", "ord").alias("class"))
+    callers = edges.where(F.col("dst").contains("startActivity(")).select(*k, F.col("src").alias("method")).distinct()
+    rows = callers.join(targets, [*k, "method"]).select(*k, F.col("method").alias("src"), F.format_string("<%s: void onCreate(android.os.Bundle)>", "class").alias("dst"))
+    return rows.join(methods.select(*k, F.col("method").alias("dst")), [*k, "dst"], "left_semi").select(*k, "src", "dst").distinct()
 
 
 def augment(edges: DataFrame, methods: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """GR-04: all implicit edges added."""
-    base = edges.select("src", "dst")
+    base = edges.select(*_scope(edges), "src", "dst")
     parts = [
         thread_edges(base, methods),
         implicit_edges(base, methods, r"sendMessage\(", r"handleMessage\("),
@@ -150,27 +162,32 @@ def augment(edges: DataFrame, methods: DataFrame, targets: DataFrame | None = No
     return base.distinct()
 
 
-def absolute_positions(nodes: DataFrame, most: int = 100) -> DataFrame:
-    """GR-08, SF-32: (tree, node, x, y, depth): offsets added from the root down. nodes: (tree, node, parent, left, top); roots have a null parent."""
-    done = nodes.where("parent IS NULL").select("tree", "node", F.col("left").alias("x"), F.col("top").alias("y"), F.lit(0).alias("depth"))
-    level = done = _cut(done)
-    for depth in range(1, most + 1):
-        above = level.select("tree", F.col("node").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"))
-        level = _cut(nodes.join(above, ["tree", "parent"]).select("tree", "node", (F.col("left") + F.col("px")).alias("x"), (F.col("top") + F.col("py")).alias("y"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    return done
+def absolute_positions(nodes: DataFrame) -> DataFrame:
+    """GR-08, SF-32: (tree, node, x, y, depth): offsets added from the root down. nodes: (tree, node, parent, left, top); roots have a null parent.
 
+    Every node's pointer up doubles its reach in each round, so trees take as many
+    rounds as the logarithm of their depth. Nodes below a missing parent, and
+    those on a cycle or below one, have no position.
+    """
+    far = _cut(nodes.select("tree", "node", F.col("parent").alias("up"), F.col("left").alias("x"), F.col("top").alias("y"), F.col("parent").isNotNull().cast("int").alias("depth")))
+    left = None
+    while (open_ := far.where("up IS NOT NULL").count()) and open_ != left:
+        left = open_
+        above = far.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("depth").alias("depth2"))
+        moved = far.where("up IS NOT NULL").join(above, ["tree", "up"]).selectExpr("tree", "node", "up2 AS up", "x + x2 AS x", "y + y2 AS y", "depth + depth2 AS depth")
+        far = _cut(far.where("up IS NULL").unionByName(moved))
+    return far.where("up IS NULL").select("tree", "node", "x", "y", "depth")
 
-def resolve_drawables(references: DataFrame, files: DataFrame, most: int = 20) -> DataFrame:
+
+def resolve_drawables(references: DataFrame, files: DataFrame) -> DataFrame:
     """GR-09: (app, name, image, trace): files that a drawable name leads to through XML references, without going round.
 
     references: (app, name, target) from XML drawables; files: (app, name, image).
+    Walks end when every trace has met a file or itself.
     """
     walk = references.select("app", "name").union(files.select("app", "name")).distinct().select("app", F.col("name").alias("start"), "name", F.array("name").alias("trace"))
     out = None
-    for _ in range(most):
+    while True:
         hit = walk.join(files, ["app", "name"]).select("app", F.col("start").alias("name"), "image", "trace")
         out = hit if out is None else out.unionByName(hit)
         walk = _cut(
@@ -178,8 +195,7 @@ def resolve_drawables(references: DataFrame, files: DataFrame, most: int = 20) -
             .select("app", "start", F.col("target").alias("name"), F.concat("trace", F.array("target")).alias("trace"))
         )
         if walk.isEmpty():
-            break
-    return out
+            return out
 
 
 def control_dependence(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import running
+
 
 def hits(truth: Column, predicted: Column) -> Column:
     """SET-07: labels that are both."""
@@ -83,8 +85,7 @@ def auc(rows: DataFrame, score: str, y: str, keys: list[str] | None = None) -> D
     """AGG-21: Mann-Whitney with average ranks. Counts by distinct score stand in for ranks, so ties cost nothing."""
     keys = keys or []
     by = rows.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(y).alias("p"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    by = running(by, keys, [score], {"before": F.col("n")})
     t = by.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return t.where("p > 0 AND q > 0").select(*keys, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 

@@ -17,12 +17,13 @@ def of_group(rows: DataFrame, permissions: str = "perms") -> DataFrame:
     return rows.withColumn("grp", F.explode(permissions)).drop(permissions)
 
 
-def neighbours(queries: DataFrame, train: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
+def neighbours(queries: DataFrame, train: DataFrame, k: int, decimals: int | None = None, others: bool = False) -> DataFrame:
     """JN-19, SET-05, SRT-02: the min(k, distinct) nearest distinct training vectors of each query within its group.
 
     queries: (id, grp, vector); train: (tid, grp, vector). Returns id, grp, rank,
-    tid, vector, distance; equal vectors count once, by their smallest tid. Exact:
-    each group's vectors are dealt into blocks of BLOCK that meet blocks of
+    tid, vector, distance; equal vectors count once, by their smallest tid, and with
+    ``others`` the one whose tid is the query's id does not count. Ties in distance
+    (rounded to ``decimals``) go to the smaller tid. Exact: each group's vectors are dealt into blocks of BLOCK that meet blocks of
     queries; a block of queries keeps its k nearest of a block of vectors, and
     these are merged.
     """
@@ -44,18 +45,25 @@ def neighbours(queries: DataFrame, train: DataFrame, k: int, decimals: int | Non
         v = v.sort_values("tid", ignore_index=True)
         b = np.stack(v["vector"].to_numpy()).astype(float)
         out = []
+        tid = v["tid"].to_numpy()
         for i in range(0, len(q), 256):
             a = np.stack(q["vector"].iloc[i : i + 256].to_numpy()).astype(float)
+            ids = q["id"].iloc[i : i + 256].to_numpy()
             rough = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)
-            take = min(len(b), k + 8)
-            near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-            exact = np.sqrt(((a[:, None, :] - b[near]) ** 2).sum(2))
+            if others:
+                rough[ids[:, None] == tid] = np.inf
+            # all that may be as near as the kth once rounded, whatever their number
+            kth = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+            slack = 1e-9 * ((a * a).sum(1) + (b * b).sum(1).max()) + 1e-12
+            reach = (np.sqrt(np.maximum(kth, 0) + slack) + (0 if decimals is None else 10.0**-decimals)) ** 2 + slack
+            row, near = np.nonzero((rough <= reach[:, None]) & np.isfinite(rough))
+            exact = np.sqrt(((a[row] - b[near]) ** 2).sum(1))
             if decimals is not None:
                 exact = exact.round(decimals)
-            order = np.lexsort((near, exact), axis=1)[:, :k]
-            near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-            n = near.shape[1]
-            out.append(pd.DataFrame({"id": np.repeat(q["id"].iloc[i : i + 256].to_numpy(), n), "grp": q["grp"].iloc[0], "tid": v["tid"].to_numpy()[near.ravel()], "distance": exact.ravel()}))
+            order = np.lexsort((near, exact, row))
+            row, near, exact = row[order], near[order], exact[order]
+            top = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"id": ids[row[top]], "grp": q["grp"].iloc[0], "tid": tid[near[top]], "distance": exact[top]}))
         return pd.concat(out)
 
     near = left.groupBy("grp", "qb", "tb").cogroup(right.groupBy("grp", "qb", "tb")).applyInPandas(block, schema)
@@ -111,16 +119,16 @@ def reconstruction(train: DataFrame, queries: DataFrame, components: int = 8) ->
     model = parts.groupBy("grp", "part").applyInPandas(moments, dim_schema).groupBy("grp").applyInPandas(subspace, "grp string, mean array<double>, axes array<double>")
 
     @F.pandas_udf("double")
-    def error(vector: pd.Series, mean: pd.Series, axes: pd.Series) -> pd.Series:
-        out = []
-        for v, m, a in zip(vector, mean, axes):
-            d = np.asarray(v, float) - m
-            a = np.asarray(a).reshape(-1, len(d))
-            out.append(float(np.linalg.norm(d - a.T @ (a @ d))))
+    def error(grp: pd.Series, vector: pd.Series, mean: pd.Series, axes: pd.Series) -> pd.Series:
+        out = np.zeros(len(vector))
+        for _, at in grp.groupby(grp).indices.items():  # rows of a group share its subspace
+            d = np.stack(vector.iloc[at].to_numpy()).astype(float) - np.asarray(mean.iloc[at[0]])
+            a = np.asarray(axes.iloc[at[0]]).reshape(-1, d.shape[1])
+            out[at] = np.linalg.norm(d - (d @ a.T) @ a, axis=1)
         return pd.Series(out)
 
     q = queries.withColumn("g", F.col("grp").cast("string"))
-    return q.join(model.withColumnRenamed("grp", "g"), "g").select("id", q["grp"], error("vector", "mean", "axes").alias("score"))
+    return q.join(model.withColumnRenamed("grp", "g"), "g").select("id", q["grp"], error("g", "vector", "mean", "axes").alias("score"))
 
 
 def features(model_output: DataFrame) -> DataFrame:

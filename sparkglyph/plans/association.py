@@ -19,14 +19,20 @@ def image_widgets(spark: SparkSession, models: str, tags: str, groups: str | Non
 
 
 def permissions(pairs: DataFrame, edges: DataFrame, methods: DataFrame, lookup: DataFrame, mapping: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """The associated rows with reachable methods and their permissions, as (apk, image, wid, wid_name, layout, handler, method, permissions)."""
+    """The associated rows with reachable methods and their permissions, as (apk, image, wid, wid_name, layout, handler, method, permissions).
+
+    edges: (app, src, dst), methods: (app, method), targets: (app, method, ord,
+    class); each app's graph is closed by itself. Tables without an `app` column
+    are those of a single app. lookup and mapping hold for methods of any app.
+    """
     from pyspark.sql import functions as F
 
+    k = ["app"] if "app" in edges.columns else []
     handlers = pairs.select("app", F.explode("handlers").alias("handler")).distinct()
     graph = R.augment(edges, methods, targets)
-    entries = None if targets is None else targets.select(F.col("method").alias("handler")).distinct()
-    found = R.handler_reach(graph, handlers.select("handler").distinct(), entries)
-    reach = handlers.join(found, "handler").where(~F.col("method").startswith("hub:"))
+    entries = None if targets is None else targets.select(*k, F.col("method").alias("handler")).distinct()
+    found = R.handler_reach(graph, handlers.select(*k, "handler").distinct(), entries)
+    reach = handlers.join(found, [*k, "handler"]).where(~F.col("method").startswith("hub:"))
     rows = A.handler_permissions(pairs, reach, lookup)
     out = rows.groupBy("app", "image", "id", "id_name", "layout", "handler", "method").agg(F.array_sort(F.collect_set("permission")).alias("permissions"))
     if mapping is not None:
