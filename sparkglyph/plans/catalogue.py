@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -36,18 +36,24 @@ def joined(c: str | F.Column) -> F.Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-@query("""SELECT o_orderkey, coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY p), '') AS parts, count(p) AS n
-FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem) l ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+@query("""SELECT o_orderkey, coalesce(string_agg(p, ',' ORDER BY p), '') AS parts, count(p) AS n
+FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, CAST(l_partkey AS VARCHAR) AS p FROM lineitem) l ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def q01_widget_handler_left_join(spark, t):
-    sets = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
-    out = t("orders").join(sets, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("p", F.coalesce("p", F.array().cast("array<bigint>")))
-    return out.select("o_orderkey", joined("p").alias("parts"), F.size("p").cast("long").alias("n"))
+    key = lambda c: F.col(c).cast("string")
+    event = F.struct(F.lit("click").alias("event"), F.array(key("l_partkey")).alias("handlers"))
+    model = t("lineitem").select(
+        F.lit("x").alias("app"), F.lit("LID[1|layout_o]").alias("window"), F.concat(F.lit("INFL[B,WID["), key("l_orderkey"), F.lit("|o]1,2]3")).alias("view"),
+        F.array().cast("array<string>").alias("images"), F.array(event).alias("handlers"),
+    )
+    pairs = t("orders").select(F.lit("x").alias("app"), key("o_orderkey").alias("image"), F.col("o_orderkey").alias("id"), F.lit("o").alias("id_name"), F.lit("o.xml").alias("layout"))
+    out = A.associate(pairs, A.widget_handlers(model))
+    return out.select(F.col("id").alias("o_orderkey"), F.array_join("handlers", ",").alias("parts"), F.size("handlers").cast("long").alias("n"))
 
 
 @query("SELECT l_partkey AS part, l_suppkey AS supp FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
 def q02_union_distinct(spark, t):
     l = t("lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), "l_returnflag")
-    return l.select("part", "supp").unionByName(l.where("l_returnflag = 'R'").select("part", "supp")).distinct()
+    return A.image_widgets(l.select("part", "supp"), l.where("l_returnflag = 'R'").select("part", "supp"))
 
 
 @query("""WITH h AS (SELECT n_regionkey, min(n_name) AS head FROM nation GROUP BY n_regionkey)
@@ -111,18 +117,21 @@ def q10_anti_join_handled(spark, t):
     return A.unhandled(t("customer").select(F.col("c_custkey").alias("app")), t("orders").select(F.col("o_custkey").alias("app")))
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R')")
+@query("""SELECT s_name AS src, '<' || n_name || ': void onCreate(android.os.Bundle)>' AS dst FROM supplier JOIN nation ON n_nationkey = s_nationkey
+WHERE n_regionkey <> 2 AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R')""")
 def q11_semi_exists(spark, t):
-    return t("supplier").join(t("lineitem").where("l_returnflag = 'R'"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select("s_suppkey", "s_name")
+    s = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "s_name", "n_name", "n_regionkey")
+    calls = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"), F.lit("<a: void startActivity(I)>").alias("dst"))
+    edges = calls.join(s, "s_suppkey").select(F.col("s_name").alias("src"), "dst")
+    methods = t("nation").where("n_regionkey <> 2").select(F.format_string("<%s: void onCreate(android.os.Bundle)>", "n_name").alias("method"))
+    return R.component_edges(edges, methods, s.select(F.col("s_name").alias("method"), F.lit(0).alias("ord"), F.col("n_name").alias("class")))
 
 
-@query(r"""WITH c AS (SELECT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part),
-k AS (SELECT DISTINCT lower(string_split(p_type, ' ')[1]) AS w FROM part) SELECT DISTINCT p_partkey, w AS token FROM c JOIN k USING (w)""")
-def q12_theta_contains_join(spark, t):
-    p = t("part")
-    words = p.select("p_partkey", F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("token"))
-    keys = p.select(F.lower(F.split("p_type", " ")[0]).alias("token")).distinct()
-    return words.join(keys, "token").select("p_partkey", "token").distinct()
+@query("""SELECT DISTINCT c_name AS src, '<' || n_name || ': void run()>' AS dst FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 3 AND c_acctbal > 0""")
+def q12_thread_join(spark, t):
+    call = F.when(F.col("c_acctbal") > 0, F.format_string("<%s: void start()>", "n_name")).otherwise("<x: void stop()>")
+    edges = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_name").alias("src"), call.alias("dst"))
+    return R.thread_edges(edges, t("nation").where("n_regionkey <> 3").select(F.format_string("<%s: void run()>", "n_name").alias("method")))
 
 
 @query("""SELECT n_name, e.event_type FROM nation, (SELECT DISTINCT event_type FROM events WHERE length(event_type) > 4) e WHERE n_regionkey IN (1, 2)""")
@@ -374,39 +383,6 @@ def q38_config_override(spark, t):
     return t("nation").select("n_nationkey", param.alias("param"), P.clamp(F.col("n_regionkey"), [0, 1], -1).alias("kind"))
 
 
-@query("""SELECT page_id, length(array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), ' ')) AS n, len(regexp_extract_all(html, '<p>([^<]*)</p>', 1))::INT AS paragraphs FROM pages""")
-def q39_page_text(spark, t):
-    got = F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))
-    return t("pages").select("page_id", F.length(F.array_join(got, " ")).cast("long").alias("n"), F.size(got).alias("paragraphs"))
-
-
-@query("""WITH s AS (SELECT DISTINCT role AS name, upper(role) AS value FROM conversations WHERE role <> 'system'),
-c AS (SELECT conv_id, turn, unnest([role, NULL]) AS name, unnest([NULL, 'literal']) AS lit FROM conversations)
-SELECT conv_id, turn, coalesce(lit, value) AS text FROM c LEFT JOIN s USING (name) WHERE coalesce(lit, value) IS NOT NULL""")
-def q40_string_dereference(spark, t):
-    c = t("conversations")
-    strings = c.where("role <> 'system'").select(F.col("role").alias("name"), F.upper("role").alias("value")).distinct()
-    rows = c.select("conv_id", "turn", F.explode(F.array(F.concat(F.lit("@string/"), "role"), F.lit("literal"))).alias("x"))
-    rows = rows.withColumn("name", F.when(F.col("x").startswith("@string/"), F.expr("substring(x, 9)"))).join(strings, "name", "left")
-    out = F.when(F.col("name").isNull(), F.col("x")).otherwise(F.col("value"))
-    return rows.select("conv_id", "turn", out.alias("text")).where("text IS NOT NULL")
-
-
-@query("""WITH e AS (SELECT user_id, event_type, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM events)
-SELECT user_id, session, count(*) FILTER (event_type = 'click') AS reps FROM e WHERE session > 0 GROUP BY ALL""")
-def q41_log_state_machine(spark, t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = t("events").select("user_id", "event_type", F.count_if(F.col("event_type") == "signup").over(w).alias("session"))
-    return e.where("session > 0").groupBy("user_id", "session").agg(F.count_if(F.col("event_type") == "click").alias("reps"))
-
-
-@query("""SELECT epoch(time_bucket(INTERVAL 10 minutes, ts, TIMESTAMP '1970-01-01'))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
-def q42_window_sampler(spark, t):
-    w = F.window("ts", "10 minutes")
-    rows = t("events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return rows.select(F.unix_timestamp("w.start").alias("start"), "event_type", "n")
-
-
 @query()
 def q43_nms(spark, t):
     p = t("part")
@@ -444,3 +420,6 @@ def q48_library_filter(spark, t):
     rows = t("part").select("p_partkey", F.concat_ws(".", "p_type", "p_name").alias("cls"), "p_brand").where("p_brand <> 'Brand#11'")
     patterns = spark.createDataFrame([("STANDARD.*",)], "pattern string")
     return A.library_filter(rows, "cls", patterns).select("p_partkey")
+
+
+from . import catalogue_files, catalogue_rows  # noqa: E402, F401  their queries register here

@@ -297,3 +297,74 @@ def test_intents_and_boxes(spark):
     assert [tuple(r) for r in G.method_intents(rows).collect()] == [("<a.B: void f()>", ["VIEW"], ["u"], ["Z", "Y"])]
     boxes = spark.createDataFrame([([(5, 9), (1, 2), (0, 9)],)], "b array<struct<x0:int,y0:int>>").select(V.top_down(F.col("b")).alias("b")).first().b
     assert [tuple(b) for b in boxes] == [(1, 2), (0, 9), (5, 9)]
+
+
+def test_apps_do_not_cross(spark):
+    go = lambda a: f"<{a}.H: void go()>"
+    pairs = spark.createDataFrame([(a, "i", 1, "w", "l", [go(a)]) for a in "ab"], "app string, image string, id long, id_name string, layout string, handlers array<string>")
+    edges = spark.createDataFrame([("a", go("a"), "<v: void setOnClickListener(l)>"), ("b", go("b"), "<t.T: void start()>"), ("a", "<s.S: void x()>", "<c: CAMERA()>"), ("b", "<s.S: void x()>", "<c: SMS()>"), ("a", "<a.H2: void y()>", "<t.T: void start()>")], "app string, src string, dst string")
+    methods = spark.createDataFrame([("b", "<b.L: void onClick(v)>"), ("a", "<t.T: void run()>"), ("a", "<a.L: void onClick(v)>")], "app string, method string")
+    lookup = spark.createDataFrame([("<b.L: void onClick(v)>", "SEND_SMS"), ("<a.L: void onClick(v)>", "CAMERA"), ("<t.T: void run()>", "INTERNET")], "method string, permission string")
+    got = {(r.apk, r.method) for r in plan.permissions(pairs, edges, methods, lookup).collect()}
+    assert got == {("a", "<a.L: void onClick(v)>")}  # app b has no run() of its own, app a no listener of b's
+    same = spark.createDataFrame([("a", "s", "x"), ("b", "s", "y"), ("b", "x", "z")], "app string, src string, dst string")
+    starts = spark.createDataFrame([("a", "s"), ("b", "s")], "app string, start string")
+    assert {(r.app, r.node) for r in R.reach(same, starts).collect()} == {("a", "x"), ("b", "y")}
+    targets = spark.createDataFrame([("a", "m", 0, "C"), ("b", "m", 0, "D")], "app string, method string, ord int, class string")
+    calls = spark.createDataFrame([("a", "m", "<x: void startActivity(I)>")], "app string, src string, dst string")
+    known = spark.createDataFrame([(a, f"<{c}: void onCreate(android.os.Bundle)>") for a in "ab" for c in "CD"], "app string, method string")
+    assert [tuple(r) for r in R.component_edges(calls, known, targets).collect()] == [("a", "m", "<C: void onCreate(android.os.Bundle)>")]
+
+
+def test_no_depth_is_too_deep(spark):
+    n = 130
+    rows = [("t", str(i), str(i - 1) if i else None, 1, 2) for i in range(n)] + [("t", "p", "q", 1, 1), ("t", "q", "p", 1, 1), ("t", "lost", "nowhere", 1, 1)]
+    nodes = spark.createDataFrame(rows, "tree string, node string, parent string, left long, top long")
+    got = {r.node: (r.x, r.y, r.depth) for r in R.absolute_positions(nodes).collect()}
+    assert got == {str(i): (i + 1, 2 * (i + 1), i) for i in range(n)}
+    refs = spark.createDataFrame([("x", f"d{i:02d}", f"d{i + 1:02d}") for i in range(25)], "app string, name string, target string")
+    files = spark.createDataFrame([("x", "d25", "d.png")], "app string, name string, image string")
+    assert {r.name: len(r.trace) for r in R.resolve_drawables(refs, files).collect()} == {f"d{i:02d}": 26 - i for i in range(26)}
+    pairs = spark.createDataFrame([("x", f"i{k}", k, "", "") for k in range(9)], "app string, image string, id long, id_name string, layout string")
+    groups = spark.createDataFrame([("x", k, f"i{k}", [f"i{k + 1}"]) for k in range(8)], "app string, ord int, head string, images array<string>")
+    assert {(r.image, r.id) for r in A.propagate(pairs, groups).collect()} == {(f"i{k}", 0) for k in range(9)}
+
+
+def test_many_ties(spark):
+    train = spark.createDataFrame([(999 - i, "g", [1.0, i * 1e-9]) for i in range(40)], "tid long, grp string, vector array<double>")
+    query = spark.createDataFrame([(1, "g", [0.0, 0.0]), (970, "g", [0.0, 0.0])], "id long, grp string, vector array<double>")
+    got = {(r.id, r["rank"]): r.tid for r in O.neighbours(query, train, 3, decimals=6).collect()}
+    assert [got[1, k] for k in (1, 2, 3)] == [960, 961, 962]
+    rest = {(r.id, r["rank"]): r.tid for r in O.neighbours(query, train, 12, decimals=6, others=True).collect()}
+    assert [rest[970, k] for k in range(9, 13)] == [968, 969, 971, 972] and rest[1, 11] == 970
+
+
+def test_type_kinds(spark):
+    edges = spark.createDataFrame([("a.B", "android.view.View"), ("a.C", "a.B"), ("a.D", "android.app.Dialog"), ("a.E", "java.lang.Object")], "src string, dst string")
+    got = {(r["sub"], r.kind) for r in R.type_kinds(R.closure(edges)).collect() if r["sub"].startswith("a.")}
+    assert got == {("a.B", "view"), ("a.C", "view"), ("a.D", "dialog")}
+
+
+def test_running_ranks(spark):
+    from sparkglyph.operators.scratch import running
+
+    rng = np.random.default_rng(8)
+    rows = [(int(k), int(o), int(v)) for k, o, v in zip(rng.integers(0, 3, 200), rng.permutation(200), rng.integers(0, 9, 200))]
+    got = running(spark.createDataFrame(rows, "k int, o int, v int"), ["k"], ["o"], {"n": F.lit(1), "s": F.col("v")}, 5).collect()
+    for r in got:
+        before = [v for k, o, v in rows if k == r.k and o < r.o]
+        assert (r.n, r.s) == (len(before), sum(before))
+
+
+def test_suppression_brute_force(spark):
+    rng = np.random.default_rng(4)
+    boxes = [("a", float(x), float(y), float(x) + 30, float(y) + 20, i / 100) for i, (x, y) in enumerate(rng.integers(0, 120, (60, 2)))]
+    left, kept = sorted(boxes, key=lambda b: -b[5]), set()
+    area = lambda b: (b[3] - b[1] + 1) * (b[4] - b[2] + 1)
+    while left:
+        best = left.pop(0)
+        kept.add(best[5])
+        shared = lambda b: max(0, min(b[3], best[3]) - max(b[1], best[1]) + 1) * max(0, min(b[4], best[4]) - max(b[2], best[2]) + 1)
+        left = [b for b in left if shared(b) / area(b) <= 0.3]
+    got = V.suppress(spark.createDataFrame(boxes, "img string, x0 double, y0 double, x1 double, y1 double, score double"), "img")
+    assert {r.score for r in got.collect()} == kept
