@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import hamming, htmltext, langid, minhash, mixing, packing, pitman_yor, quality, secret_scan, toxicity
+from . import hamming, htmltext, langid, minhash, mixing, packing, quality, secret_scan, toxicity, word_contexts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pitman_yor.score(C.table(spark, sf_dir, "documents"))
+    return word_contexts.score(C.table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
