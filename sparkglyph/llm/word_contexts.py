@@ -47,7 +47,7 @@ COUNTED = 500_000
 #: Tokens a task packs at once.
 CHUNK = 4_000_000
 #: Learned tokens of a bucket, about, and of a section of a class.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Fewer restaurants than this take their turns one by one.
 FEW = 24
 #: Documents that one task puts together: 2 ** DEST at most.
@@ -149,13 +149,15 @@ def class_cells(docs: DataFrame, own: dict[bytes, int]) -> pa.Table:
 
 
 def _planes(x: np.ndarray, size: int) -> bytes:
-    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(len(x), 8)[:, :size].T).tobytes()
+    width = 8 if size > 4 else 4
+    return np.ascontiguousarray(x.astype(f"u{width}").view(np.uint8).reshape(len(x), width)[:, :size].T).tobytes()
 
 
 def _values(data: bytes, at: int, n: int, size: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
+    width = 8 if size > 4 else 4
+    out = np.zeros((n, width), np.uint8)
     out[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T
-    return out.view(np.uint64).ravel()
+    return out.view(f"u{width}").ravel()
 
 
 def _pack(doc: np.ndarray, cols: list[np.ndarray], named: int, hashes: np.ndarray, cls: np.ndarray) -> bytes:
@@ -196,7 +198,7 @@ def _pack(doc: np.ndarray, cols: list[np.ndarray], named: int, hashes: np.ndarra
 def _unpack(block: bytes, columns: int, named: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Documents; hashes of the named columns, then the others; classes of the named ones."""
     n, m = (int(x) for x in np.frombuffer(block, np.int64, 2))
-    data = pa.decompress(block[16:], 4 * n * (columns + 1) + 8 * m, "zstd", asbytes=True)
+    data = pa.decompress(memoryview(block)[16:], 4 * n * (columns + 1) + 8 * m, "zstd", asbytes=True)
     doc, *cols = (_values(data, 4 * n * i, n, 4) for i in range(columns + 1))
     cls, hashes = _values(data, 4 * n * (columns + 1), m, 2), _values(data, 4 * n * (columns + 1) + 2 * m, m, 6)
     words = np.concatenate(cols[:named]).astype(np.int64) - 1
@@ -315,26 +317,40 @@ def probabilities(c: np.ndarray, ctx: list[np.ndarray], up: list[np.ndarray], ba
     return total / CLASS_KEPT
 
 
-def score_bucket(root: np.ndarray, v: np.ndarray, u: np.ndarray, dish: np.ndarray, learn: np.ndarray, base: np.ndarray | None, rng: np.random.Generator):
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, and which value each is."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+    del x
+    which = np.empty(len(order), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], which
+
+
+def score_bucket(root: np.ndarray, v: np.ndarray, u: np.ndarray, dish: np.ndarray, learn: np.ndarray, base, rng: np.random.Generator):
     """log10 probability of each row; without a base also the rows' cells at the root and the learned rows of those.
 
     The restaurants: after u and v within root, after v within root and, without
-    a base, root itself; base: probability of the row's dish in its root.
+    a base, root itself; base: probability of the row's dish in its root, or a
+    function of the roots and dishes that gives it.
     """
     after = _key(root.astype(np.uint64), v)
     both = _key(after, u)
-    _, one, inv = np.unique(_key(both, dish), return_index=True, return_inverse=True)
+    del u, v
+    one, inv = _distinct(_key(both, dish))
     c = np.bincount(inv, weights=learn)
-    ctx = [np.unique(both[one], return_inverse=True)[1]]
+    ctx = [_distinct(both[one])[1]]
     del both
-    after, dish, root = after[one], dish[one], root[one].astype(np.uint64)
-    _, two, up = np.unique(_key(after, dish), return_index=True, return_inverse=True)
-    ctx.append(np.unique(after[two], return_inverse=True)[1])
-    if base is not None:
-        return np.log10(np.maximum(probabilities(c, ctx, [up], base[one][two], rng), 1e-300))[inv]
+    after, dish, root = after[one], dish[one], root[one]
+    two, up = _distinct(_key(after, dish))
+    ctx.append(_distinct(after[two])[1])
     dish, root = dish[two], root[two]
-    _, three, top = np.unique(_key(root, dish), return_index=True, return_inverse=True)
-    ctx.append(np.unique(root[three], return_inverse=True)[1])
+    if base is not None:
+        base = base(root, dish) if callable(base) else base[one][two]
+        return np.log10(np.maximum(probabilities(c, ctx, [up], base, rng), 1e-300))[inv]
+    three, top = _distinct(_key(root.astype(np.uint64), dish))
+    ctx.append(_distinct(root[three])[1])
     p = probabilities(c, ctx, [up, top], None, rng)
     word = top[up]
     return np.log10(np.maximum(p, 1e-300))[inv], word[inv], np.bincount(word, weights=c)
@@ -408,27 +424,28 @@ def score(docs: DataFrame, seed: int = 17) -> DataFrame:
             return pa.table([group["bucket"], pa.nulls(len(group), pa.int64()), group["block"]], schema=schema)
         group = group.sort_by("low")  # the same order in every run
         named = 2 if kind == CLASSES else 3
-        docs, cols, classes = [], [], []
+        parts = []
         for low, block in zip(group["low"].to_pylist(), group["block"]):
-            d, x, k = _unpack(block.as_py(), 3, named)
-            docs.append(d + 2 * low)
-            cols.append(x)
-            classes.append(k if kind == CLASSES else k[2:])
-        code = np.concatenate(docs)
-        u, v, dish = (np.concatenate(x) for x in zip(*cols))
-        of = [np.concatenate(x).astype(np.int64) for x in zip(*classes)]
-        del docs, cols, classes
-        learn, key = code & 1, code >> 1
+            d, (u, v, dish), k = _unpack(block.as_buffer(), 3, named)
+            root = (k[0].astype(np.int32) % FOLDED * N_DISH + k[1]).astype(np.int32) if kind == CLASSES else k[2].astype(np.int32)
+            parts.append((d + 2 * low, u, v, dish.astype(np.int32) if kind == CLASSES else dish, root))
+        parts = list(zip(*parts))[::-1]
+        code, u, v, dish, root = (np.concatenate(parts.pop()) for _ in range(5))
+        learn = (code & 1).astype(np.int8)
+        key = code >> 1
+        del code, group
         rng = np.random.default_rng([seed, kind, bucket])
         types, base, known = None, None, None
         if kind == CLASSES:
-            table, root = shared.value[1], (of[0] % FOLDED) * N_DISH + of[1]
             # the restaurants after v take its folded neighbour in, as their base does
-            lp = score_bucket(root, v, u, dish.astype(np.uint64), learn, table[root, dish].astype(np.float64), rng)
+            rows, table = [dish, u, v, root], shared.value[1]
+            del u, v, dish, root
+            lp = score_bucket(rows.pop(), rows.pop(), rows.pop(), rows.pop(), learn, lambda root, dish: table[root, dish].astype(np.float64), rng)
         else:
-            k = of[0]
+            k = root
             root = offset[k] + (dish % sections[k].astype(np.uint64)).astype(np.int64)
             lp, word, count = score_bucket(root, v, u, dish, learn, None, rng)
+            del u, v, dish
             inside = np.bincount(root, weights=learn)[root]
             lp += np.log10((inside + STRENGTH / sections[k]) / (of_class[k] + STRENGTH))
             types, known, base = int((count > 0).sum()), (count > 0)[word], np.log10(count + 0.5)[word]
