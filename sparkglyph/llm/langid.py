@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .flat import Adam, pieces, softmax
+from .flat import Adam, give_back, pieces, softmax
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -138,27 +138,33 @@ def train(docs: DataFrame, learnable, seed: int = 7) -> ByteCnn | None:
     return ByteCnn(langs, seed).fit(windows, np.array([y for _, y in got], np.int64), seed=seed)
 
 
-def predict(docs: DataFrame, model: ByteCnn | None, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: ByteCnn | None, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns plus lang_pred and score; keep must not hold these names.
 
+    A text column that is kept goes to Python once.
+
     Texts that are null or have no letter get `und` with score 0; so do all when
     there is no model.
     """
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    inner = docs.select(*keep, F.col("text").cast("binary").alias("__bytes"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    source = text if text in keep else "__bytes"
+    own = [] if text in keep else [F.col(text).cast("binary").alias("__bytes")]
+    inner = docs.select(*keep, *own, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     schema = inner.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
         for batch in batches:
-            shares = [model.shares(data, at) for _, _, data, at in pieces(batch.column("__bytes"))]
+            shares = [model.shares(data, at) for _, _, data, at in pieces(batch.column(source))]
             p = np.concatenate(shares) if shares else np.zeros((0, len(model.langs)))
             letter = batch.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
             best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
             langs = np.array([*model.langs, "und"], object)[np.where(letter, best, len(model.langs))]
             score = np.where(letter, p.max(axis=1) if len(p) else 0, 0.0).clip(0, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            del batch
+            give_back()
 
     return inner.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import connected
-from .flat import pieces
+from .flat import give_back, pieces
 
 PERMUTATIONS = 120
 #: 20 bands of minima and 20 of maxima, 6 rows each: a pair at 0.8 is missed once in 190,000 times.
@@ -112,6 +112,7 @@ def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "bands"]
             )
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
