@@ -17,8 +17,8 @@ broadcast. All class restaurants after a word and a folded class lie in one
 bucket, and so do all word restaurants of a section; each bucket is seated by
 itself, with its own discounts, by the same Gibbs sweeps as the classes. Every
 token goes once to the bucket of its class restaurants and once, unless it has a
-class of its own, to that of its word restaurants, in compressed blocks. There it
-is counted, and scored when its bucket is seated; sums go back by document.
+class of its own, to that of its word restaurants, in compressed blocks, where the
+most frequent words stand by their ranks and the others by hashes. There it is counted, and scored when its bucket is seated; sums go back by document.
 """
 
 from __future__ import annotations
@@ -38,12 +38,16 @@ from pyspark.sql import functions as F
 from . import common as C
 from .flat import pieces
 from .minhash import _mix
-from .pitman_yor import CLASS_KEPT, CLASS_SWEEPS, END, FOLDED, FOLDS, HELD_OUT, N_DISH, STRENGTH, SUFFIX, class_model, discount_of
+from .pitman_yor import CLASS_KEPT, CLASS_SWEEPS, END, FOLDED, FOLDS, HELD_OUT, N_CTX, N_DISH, STRENGTH, SUFFIX, class_model, discount_of
 
 #: Words with a class of their own, at most; class 0 is the end.
 OWN = 256
-#: Distinct words a task counts before it hands on those that are frequent in it.
+#: Distinct words a task counts before it hands on the COMMON most frequent of them.
 COUNTED = 500_000
+#: Words that have a number of two bytes in blocks, at most; the others stand there by their hashes.
+COMMON = (1 << 16) - 2
+#: Class cells that are summed in one place, and written as one block.
+RANGE = 1 << 16
 #: Tokens a task packs at once.
 CHUNK = 4_000_000
 #: Learned tokens of a bucket, about, and of a section of a class.
@@ -62,24 +66,42 @@ def _key(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return first
 
 
+class Common:
+    """The most frequent words: their ranks, from 1; hashes and classes by rank. Rank 0 is the end."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        words = [END, *words]
+        self.rank = {w: i for i, w in enumerate(words)}
+        self.hashes = np.array([_hash(w) for w in words], np.uint64)
+        self.classes = np.array([_class(w, i) for i, w in enumerate(words)], np.int64)
+
+
+def _hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=6).digest(), "little")
+
+
+def _class(word: bytes, rank: int | None) -> int:
+    return rank if rank is not None and rank < OWN else OWN + zlib.crc32(word[-SUFFIX:]) % (N_DISH - OWN)
+
+
 class _Ids(dict):
-    """Numbers of the words of a chunk, their hashes and classes; 0 stands before a text."""
+    """Numbers of the words of a chunk, their hashes, classes and ranks (-1: not common); 0 stands before a text."""
 
-    def __init__(self, own: dict[bytes, int], hashed: bool) -> None:
-        self.own, self.hashed, self.hashes, self.classes = own, hashed, [0], [0]
+    def __init__(self, common: Common, hashed: bool) -> None:
+        self.rank, self.hashed, self.hashes, self.classes, self.ranks = common.rank, hashed, [0], [0], [-1]
 
     def __missing__(self, word: bytes) -> int:
         i = self[word] = len(self.classes)
+        rank = self.rank.get(word)
         if self.hashed:
-            self.hashes.append(int.from_bytes(hashlib.blake2b(word, digest_size=6).digest(), "little"))
-        k = self.own.get(word)
-        self.classes.append(k if k is not None else OWN + zlib.crc32(word[-SUFFIX:]) % (N_DISH - OWN))
+            self.hashes.append(_hash(word))
+            self.ranks.append(-1 if rank is None else rank)
+        self.classes.append(_class(word, rank))
         return i
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], own: dict[bytes, int], fields: list[str], hashed: bool = True):
-    """(u, v, w, document, lengths, hashes, classes, fields of the documents): tokens as numbers, w after v after u."""
-    own = {**own, END: 0}
+def _chunks(batches: Iterator[pa.RecordBatch], common: Common, fields: list[str], hashed: bool = True):
+    """(u, v, w, document, lengths, (hashes, classes, ranks), fields of the documents): tokens as numbers, w after v after u."""
 
     def chunk():
         w, n = np.concatenate(got), np.array(lengths, np.int64)
@@ -88,9 +110,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], own: dict[bytes, int], fields: li
         v[1:], u[2:] = w[:-1], w[:-2]
         v[start] = u[start] = 0
         u[(start + 1)[n > 1]] = 0
-        return u, v, w, np.repeat(np.arange(len(n)), n), n, np.array(ids.hashes, np.uint64), np.array(ids.classes, np.int64), [pa.concat_arrays(c) for c in zip(*rows)]
+        return u, v, w, np.repeat(np.arange(len(n)), n), n, (np.array(ids.hashes, np.uint64), np.array(ids.classes, np.int64), np.array(ids.ranks, np.int64)), [pa.concat_arrays(c) for c in zip(*rows)]
 
-    ids, got, lengths, rows, waiting = _Ids(own, hashed), [], [], [], 0
+    ids, got, lengths, rows, waiting = _Ids(common, hashed), [], [], [], 0
     for batch in batches:
         for lo, hi, data, at in pieces(batch.column("text")):
             raw = data.tobytes()
@@ -103,19 +125,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], own: dict[bytes, int], fields: li
             rows.append([batch.column(f).slice(lo, hi - lo) for f in fields])
             if waiting > CHUNK:
                 yield chunk()
-                ids, got, lengths, rows, waiting = _Ids(own, hashed), [], [], [], 0
+                ids, got, lengths, rows, waiting = _Ids(common, hashed), [], [], [], 0
     if got:
         yield chunk()
 
 
-def own_classes(docs: DataFrame) -> dict[bytes, int]:
-    """Classes of the words that have one of their own; docs: the texts learned from."""
+def common_words(docs: DataFrame) -> Common:
+    """docs: the texts learned from. Classes go by the first ranks, the rest only makes blocks shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            least = seen.total() / 50_000
+            # those over 1 in 50,000 in any case, which decide the classes
+            counts = np.fromiter(seen.values(), np.int64, len(seen))
+            least = min(seen.total() / 50_000, max(2, np.partition(counts, -COMMON)[-COMMON] + 1 if len(counts) > COMMON else 2))
             got = [(w, n) for w, n in seen.items() if n >= least]
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
@@ -130,22 +154,48 @@ def own_classes(docs: DataFrame) -> dict[bytes, int]:
         yield flush()
 
     got = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): i for i, r in enumerate(got.orderBy(F.desc("n"), "word").limit(OWN - 1).collect(), 1)}
+    got = C.materialize(got, "lm-common")
+    # all down to a count, by eighths of octaves: a high limit would send many rows through one task
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    steps = sorted(got.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r.step)
+    sizes = np.cumsum([r.words for r in steps])
+    fit = int((sizes <= COMMON).sum())
+    if fit and (sizes[fit - 1] >= OWN - 1 or fit == len(steps)):
+        rows = got.where(F.col("n") >= steps[fit - 1].least)
+    else:
+        rows = got.orderBy(F.desc("n"), "word").limit(OWN - 1)
+    rows = rows.toArrow()
+    words = sorted(zip(rows["n"].to_pylist(), rows["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
+    C.discard(got)
+    return Common([w for _, w in words])
 
 
-def class_cells(docs: DataFrame, own: dict[bytes, int]) -> pa.Table:
+def class_cells(docs: DataFrame, common: Common) -> pa.Table:
     """key (context * N_DISH + class), n: customers of the classes after classes, N_CTX * N_DISH rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for u, v, w, _, _, _, cls, _ in _chunks(batches, own, [], hashed=False):
-            new, n = np.unique(((cls[u] % FOLDED) * N_DISH + cls[v]) * N_DISH + cls[w], return_counts=True)
-            keys, inv = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            sums = np.bincount(inv, weights=np.concatenate([sums, n]), minlength=len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["key", "n"])
+        sums = np.zeros(N_CTX * N_DISH, np.int64)
+        for u, v, w, _, _, (_, cls, _), _ in _chunks(batches, common, [], hashed=False):
+            sums += np.bincount(((cls[u] % FOLDED) * N_DISH + cls[v]) * N_DISH + cls[w], minlength=len(sums))
+        for part in range(-(-len(sums) // RANGE)):
+            n = sums[part * RANGE : (part + 1) * RANGE]
+            at = np.flatnonzero(n)
+            if len(at):
+                data = _planes(np.diff(at, prepend=0), 4) + _planes(n[at], 6)
+                block = np.array([len(at)], np.int64).tobytes() + pa.compress(data, "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block], pa.binary())], names=["part", "block"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        sums = np.zeros(RANGE, np.int64)
+        for block in group["block"].to_pylist():
+            m = int(np.frombuffer(block, np.int64, 1)[0])
+            data = pa.decompress(memoryview(block)[8:], 10 * m, "zstd", asbytes=True)
+            sums[np.cumsum(_values(data, 0, m, 4))] += _values(data, 4 * m, m, 6).astype(np.int64)
+        at = np.flatnonzero(sums)
+        return pa.table({"key": pa.array(at + group["part"][0].as_py() * RANGE), "n": pa.array(sums[at])})
 
-    got = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, n long")
-    return C.materialize(got.groupBy("key").agg(F.sum("n").alias("n")), "lm-cells").toArrow().sort_by("key")
+    got = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "part long, block binary")
+    return C.materialize(got.groupBy("part").applyInArrow(summed, "key long, n long"), "lm-cells").toArrow().sort_by("key")
 
 
 def _planes(x: np.ndarray, size: int) -> bytes:
@@ -160,13 +210,14 @@ def _values(data: bytes, at: int, n: int, size: int) -> np.ndarray:
     return out.view(f"u{width}").ravel()
 
 
-def _pack(doc: np.ndarray, cols: list[np.ndarray], named: int, hashes: np.ndarray, cls: np.ndarray) -> bytes:
+def _pack(doc: np.ndarray, cols: list[np.ndarray], named: int, hashes: np.ndarray, cls: np.ndarray, ranks: np.ndarray | None = None) -> bytes:
     """A block of rows: documents in rising order, the first ``named`` columns numbers of words.
 
     Words are numbered in the order in which they first stand in the block, and
-    0 is written there; the rest are written as their number plus one. Hashes
-    follow in that order, and the classes: of all words, or of the last column
-    alone where all are named.
+    0 is written there; the rest are written as their number plus one. In that
+    order follow the ranks of common words plus one, 0 for the others, whose
+    hashes follow, and classes: of all, or of those in the last column alone
+    where all columns are named.
     """
     n = len(doc)
     words = np.concatenate(cols[:named])
@@ -191,16 +242,23 @@ def _pack(doc: np.ndarray, cols: list[np.ndarray], named: int, hashes: np.ndarra
         dish = np.zeros(len(used), bool)
         dish[inv[-n:]] = True
         of = of * dish
-    data = b"".join([*(_planes(c, 4) for c in (np.diff(doc, prepend=0), *written.reshape(named, n), *cols[named:])), _planes(of, 2), _planes(hashes[used], 6)])
-    return np.array([n, len(used)], np.int64).tobytes() + pa.compress(data, "zstd", asbytes=True)
+    rank = ranks[used] + 1 if ranks is not None else np.zeros(len(used), np.int64)
+    rest = np.flatnonzero(rank == 0)
+    columns = (_planes(c, 4) for c in (np.diff(doc, prepend=0), *written.reshape(named, n), *cols[named:]))
+    data = b"".join([*columns, _planes(rank, 2), _planes(of[rest], 2), _planes(hashes[used[rest]], 6)])
+    return np.array([n, len(used), len(rest)], np.int64).tobytes() + pa.compress(data, "zstd", asbytes=True)
 
 
-def _unpack(block: bytes, columns: int, named: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _unpack(block: bytes, columns: int, named: int, common: Common | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Documents; hashes of the named columns, then the others; classes of the named ones."""
-    n, m = (int(x) for x in np.frombuffer(block, np.int64, 2))
-    data = pa.decompress(memoryview(block)[16:], 4 * n * (columns + 1) + 8 * m, "zstd", asbytes=True)
+    n, m, r = (int(x) for x in np.frombuffer(block, np.int64, 3))
+    data = pa.decompress(memoryview(block)[24:], 4 * n * (columns + 1) + 2 * m + 8 * r, "zstd", asbytes=True)
     doc, *cols = (_values(data, 4 * n * i, n, 4) for i in range(columns + 1))
-    cls, hashes = _values(data, 4 * n * (columns + 1), m, 2), _values(data, 4 * n * (columns + 1) + 2 * m, m, 6)
+    at = 4 * n * (columns + 1)
+    rank = _values(data, at, m, 2).astype(np.int64) - 1
+    cls, hashes = (common.classes[rank], common.hashes[rank]) if common is not None else (np.zeros(m, np.int64), np.zeros(m, np.uint64))
+    rest = rank < 0
+    cls[rest], hashes[rest] = _values(data, at + 2 * m, r, 2), _values(data, at + 2 * m + 2 * r, r, 6)
     words = np.concatenate(cols[:named]).astype(np.int64) - 1
     words[words < 0] = np.arange(m)
     words = words.reshape(named, n)
@@ -208,21 +266,36 @@ def _unpack(block: bytes, columns: int, named: int) -> tuple[np.ndarray, list[np
 
 
 def _alone(c: float, p: float, others: float, d: float, draw: random.Random, n: float = 1, t: int = 1) -> int:
-    """``seat`` for one dish, from n customers at t tables on."""
+    """``seat`` for one dish, from n customers at t tables on.
+
+    With z = n - d * t the next customer opens a table with probability
+    w / (z + w). The waits are thinned: no customer up to m later is proposed with
+    probability ((z - 1) / (z - 1 + m)) ** w, so one is proposed with
+    1 - (1 - 1 / z) ** w, never less than w / (z + w), and kept by the ratio.
+    """
+    coin, rise = draw.random, d * p
+    w, z = max((STRENGTH + d * (others + t)) * p, 1e-300), n - d * t
     while n < c:
-        w = max((STRENGTH + d * (others + t)) * p, 1e-300)
-        if c - n < 8:
-            t += draw.random() * (n - d * t + w) < w
+        if z < 4 * w or z < 2 or c - n < 6:
             n += 1
+            z += 1
+            if coin() * (z - 1 + w) < w:
+                t += 1
+                w += rise
+                z -= d
             continue
-        q = draw.betavariate(w, n - d * t)
-        if q <= 0:
+        wait = -math.log(1 - coin()) / w
+        if wait >= math.log1p((c - n) / (z - 1)):
             break
-        wait = math.log(1 - draw.random()) / math.log1p(-min(q, 1 - 1e-16))
-        if not n + wait < c:
+        skipped = int((z - 1) * math.expm1(wait))
+        n += skipped + 1
+        z += skipped + 1
+        if n > c:
             break
-        n += int(wait) + 1
-        t += 1
+        if coin() * -math.expm1(w * math.log1p(-1 / (z - 1))) < w / (z - 1 + w):
+            t += 1
+            w += rise
+            z -= d
     return t
 
 
@@ -243,7 +316,7 @@ def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float
         n[here] = at
         here = here[at < customers[here]]
     for i in here.tolist():
-        t[i] = _alone(float(customers[i]), float(parent[i]), float(others[i]), d, draw, float(n[i]), int(t[i]))
+        t[i] = _alone(float(customers[i]), float(parent[i]), float(others[i]), d, draw, int(n[i]), int(t[i]))
     return t
 
 
@@ -376,19 +449,18 @@ def score(docs: DataFrame, seed: int = 17) -> DataFrame:
     held = C.crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT
     docs = docs.select("doc_id", "text", held.alias("held_out"))
     learned = docs.where(~F.col("held_out"))
-    own = own_classes(learned)
-    cells = class_cells(learned, own)
+    common = common_words(learned)
+    cells = class_cells(learned, common)
     keys, customers = cells["key"].to_numpy(), cells["n"].to_numpy()
     of_class = np.bincount(keys % N_DISH, weights=customers, minlength=N_DISH)
     n = int(of_class.sum())
     sections = np.maximum(np.ceil(of_class / BUCKET), 1).astype(np.int64)
     offset = np.cumsum(sections) - sections
     buckets = [int(np.ceil(x / BUCKET)) + 1 for x in (n, of_class[OWN:].sum())]
-    shared = spark.sparkContext.broadcast((own, 10.0 ** class_model(keys, customers.astype(np.float64), seed)))
+    shared = spark.sparkContext.broadcast((common, 10.0 ** class_model(keys, customers.astype(np.float64), seed)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value[0]
-        for u, v, w, doc, lengths, hashes, cls, (keys, ids, held) in _chunks(batches, own, ["key", "doc_id", "held_out"]):
+        for u, v, w, doc, lengths, (hashes, cls, ranks), (keys, ids, held) in _chunks(batches, shared.value[0], ["key", "doc_id", "held_out"]):
             key, k = keys.to_numpy(), cls[w]
             low = int(key.min())
             code = ((key - low) * 2 + ~held.to_numpy(zero_copy_only=False))[doc]
@@ -413,7 +485,7 @@ def score(docs: DataFrame, seed: int = 17) -> DataFrame:
                 for i, j in zip(cuts, cuts[1:]):
                     x = order[i:j]
                     cols, named = ([u[x], v[x], k[x]], 2) if kind == CLASSES else ([u[x], v[x], w[x]], 3)
-                    out.append((kind, int(at[i]), low, _pack(code[x], cols, named, hashes, cls)))
+                    out.append((kind, int(at[i]), low, _pack(code[x], cols, named, hashes, cls, ranks)))
             for i in range(0, len(out), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 16]), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "bucket", "low", "block"])
 
@@ -426,7 +498,7 @@ def score(docs: DataFrame, seed: int = 17) -> DataFrame:
         named = 2 if kind == CLASSES else 3
         parts = []
         for low, block in zip(group["low"].to_pylist(), group["block"]):
-            d, (u, v, dish), k = _unpack(block.as_buffer(), 3, named)
+            d, (u, v, dish), k = _unpack(block.as_buffer(), 3, named, shared.value[0])
             root = (k[0].astype(np.int32) % FOLDED * N_DISH + k[1]).astype(np.int32) if kind == CLASSES else k[2].astype(np.int32)
             parts.append((d + 2 * low, u, v, dish.astype(np.int32) if kind == CLASSES else dish, root))
         parts = list(zip(*parts))[::-1]
@@ -449,7 +521,8 @@ def score(docs: DataFrame, seed: int = 17) -> DataFrame:
             inside = np.bincount(root, weights=learn)[root]
             lp += np.log10((inside + STRENGTH / sections[k]) / (of_class[k] + STRENGTH))
             types, known, base = int((count > 0).sum()), (count > 0)[word], np.log10(count + 0.5)[word]
-        keys, inv = np.unique(key, return_inverse=True)
+        new = np.r_[True, key[1:] != key[:-1]]  # rows are in the order of documents
+        keys, inv = key[new], np.cumsum(new) - 1
         sums = {"key": pa.array(keys), "lp": pa.array(np.bincount(inv, weights=lp).astype(np.float32))}
         if kind == WORDS:
             sums |= {"known": pa.array(np.bincount(inv, weights=known).astype(np.int64)), "base": pa.array(np.bincount(inv, weights=base))}

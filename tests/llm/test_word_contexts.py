@@ -100,3 +100,66 @@ def test_blocks_come_back():
         assert (d == np.cumsum(doc % 9)).all() and (a == hashes[u]).all() and (b == hashes[v]).all() and (k == cls[w]).all() and (ka == cls[u]).all() and (kb == cls[v]).all()
         d, (a, b, c), k = word_contexts._unpack(word_contexts._pack(np.cumsum(doc % 9), [u, v, w], 3, hashes, cls), 3, 3)
         assert (a == hashes[u]).all() and (b == hashes[v]).all() and (c == hashes[w]).all() and (k[2] == cls[w]).all()
+
+
+def test_common_words_shorten_blocks():
+    rng = np.random.default_rng(6)
+    common = word_contexts.Common([f"w{i}".encode() for i in range(4000)])
+    hashes, cls = rng.integers(0, 2**48, 5000, dtype=np.uint64), rng.integers(0, 512, 5000)
+    ranks = np.r_[rng.permutation(4001), np.full(999, -1)]
+    hashes[:4001], cls[:4001] = common.hashes[ranks[:4001]], common.classes[ranks[:4001]]
+    u, v, w = rng.integers(0, 5000, (3, 3000)).astype(np.uint32)
+    doc = np.arange(3000)
+    for cols, named in (([u, v, cls[w]], 2), ([u, v, w], 3)):
+        plain, short = (word_contexts._pack(doc, cols, named, hashes, cls, r) for r in (None, ranks))
+        d, (a, b, c), k = word_contexts._unpack(short, 3, named, common)
+        assert (d == doc).all() and (a == hashes[u]).all() and (b == hashes[v]).all() and (c == (cls[w] if named == 2 else hashes[w])).all()
+        assert all((x == cls[y]).all() for x, y in zip(k, (u, v)) if named == 2) and (named == 2 or (k[2] == cls[w]).all())
+        assert len(short) < 0.75 * len(plain)
+
+
+def test_common_words_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(word_contexts, "RANGE", 1 << 12)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 200) % 500) for _ in range(40)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = Counter(w.encode() for t in texts for w in (t or "").split())
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    common = word_contexts.common_words(df)
+    assert list(common.rank) == [pitman_yor.END, *order]
+    cells = Counter()
+    k = {w: int(common.classes[i]) for w, i in common.rank.items()}
+    for t in texts:
+        row = [0, 0, *(k[w.encode()] for w in (t or "").split()), 0]
+        cells.update(((u % pitman_yor.FOLDED) * pitman_yor.N_DISH + v) * pitman_yor.N_DISH + w for u, v, w in zip(row, row[1:], row[2:]))
+    got = word_contexts.class_cells(df, common)
+    assert list(zip(got["key"].to_pylist(), got["n"].to_pylist())) == sorted(cells.items())
+    # where the steps of counts do not fit, those with a class of their own remain
+    monkeypatch.setattr(word_contexts, "OWN", 8)
+    monkeypatch.setattr(word_contexts, "COMMON", 3)
+    ties = spark.createDataFrame([("d c b a f e h g j i",)], "text string")
+    assert list(word_contexts.common_words(ties).rank) == [pitman_yor.END, *(bytes([x]) for x in b"abcdefg")]
+
+
+def test_waits_take_few_draws():
+    class Coins:  # nothing but plain random numbers
+        def __init__(self):
+            self.draw, self.drawn = random.Random(5), 0
+
+        def random(self):
+            self.drawn += 1
+            return self.draw.random()
+
+    coins = Coins()
+    tables = [word_contexts._alone(1_000_000, 1e-3, 500, 0.5, coins) for _ in range(200)]
+    assert min(tables) >= 1 and coins.drawn < 200 * 30 + 3 * sum(tables)
+    rng = np.random.default_rng(1)
+    want = []
+    for _ in range(2000):
+        t = 1
+        for n in range(1, 400):
+            w = (pitman_yor.STRENGTH + 0.95 * (3 + t)) * 0.5
+            t += rng.random() < w / (n - 0.95 * t + w)
+        want.append(t)
+    got = [word_contexts._alone(400, 0.5, 3, 0.95, coins) for _ in range(2000)]
+    assert np.mean(got) == pytest.approx(np.mean(want), abs=5 * np.std(want) * math.sqrt(2 / 2000))
