@@ -18,7 +18,8 @@ bucket, and so do all word restaurants of a section; each bucket is seated by
 itself, with its own discounts, by the same Gibbs sweeps as the classes. Every
 token goes once to the bucket of its class restaurants and once, unless it has a
 class of its own, to that of its word restaurants, in compressed blocks, where the
-most frequent words stand by their ranks and the others by hashes. There it is counted, and scored when its bucket is seated; sums go back by document.
+most frequent words stand by their ranks and the others by hashes. There it is
+counted, and scored when its bucket is seated; sums go back by document.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .flat import pieces
+from .flat import give_back, pieces
 from .minhash import _mix
 from .pitman_yor import CLASS_KEPT, CLASS_SWEEPS, END, FOLDED, FOLDS, HELD_OUT, N_CTX, N_DISH, STRENGTH, SUFFIX, class_model, discount_of
 
@@ -110,7 +111,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], common: Common, fields: list[str]
         v[1:], u[2:] = w[:-1], w[:-2]
         v[start] = u[start] = 0
         u[(start + 1)[n > 1]] = 0
-        return u, v, w, np.repeat(np.arange(len(n)), n), n, (np.array(ids.hashes, np.uint64), np.array(ids.classes, np.int64), np.array(ids.ranks, np.int64)), [pa.concat_arrays(c) for c in zip(*rows)]
+        return u, v, w, np.repeat(np.arange(len(n), dtype=np.int32), n), n, (np.array(ids.hashes, np.uint64), np.array(ids.classes, np.int32), np.array(ids.ranks, np.int32)), [pa.concat_arrays(c) for c in zip(*rows)]
 
     ids, got, lengths, rows, waiting = _Ids(common, hashed), [], [], [], 0
     for batch in batches:
@@ -124,10 +125,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], common: Common, fields: list[str]
                 waiting += len(words)
             rows.append([batch.column(f).slice(lo, hi - lo) for f in fields])
             if waiting > CHUNK:
-                yield chunk()
+                done = [chunk()]
                 ids, got, lengths, rows, waiting = _Ids(common, hashed), [], [], [], 0
+                yield done.pop()  # nothing of it stays here
     if got:
-        yield chunk()
+        done = [chunk()]
+        del ids, got, rows
+        yield done.pop()
 
 
 def common_words(docs: DataFrame) -> Common:
@@ -152,6 +156,7 @@ def common_words(docs: DataFrame) -> Common:
                 if len(seen) > COUNTED:
                     yield flush()
         yield flush()
+        give_back()
 
     got = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     got = C.materialize(got, "lm-common")
@@ -184,6 +189,8 @@ def class_cells(docs: DataFrame, common: Common) -> pa.Table:
                 data = _planes(np.diff(at, prepend=0), 4) + _planes(n[at], 6)
                 block = np.array([len(at)], np.int64).tobytes() + pa.compress(data, "zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block], pa.binary())], names=["part", "block"])
+        del sums
+        give_back()
 
     def summed(group: pa.Table) -> pa.Table:
         sums = np.zeros(RANGE, np.int64)
@@ -457,22 +464,28 @@ def score(docs: DataFrame, seed: int = 17) -> DataFrame:
     sections = np.maximum(np.ceil(of_class / BUCKET), 1).astype(np.int64)
     offset = np.cumsum(sections) - sections
     buckets = [int(np.ceil(x / BUCKET)) + 1 for x in (n, of_class[OWN:].sum())]
+    single_of = np.arange(N_DISH) < OWN
+    known_of, base_of = (single_of & (of_class > 0)).astype(np.float64), np.where(single_of, np.log10(of_class + 0.5), 0)
     shared = spark.sparkContext.broadcast((common, 10.0 ** class_model(keys, customers.astype(np.float64), seed)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, v, w, doc, lengths, (hashes, cls, ranks), (keys, ids, held) in _chunks(batches, shared.value[0], ["key", "doc_id", "held_out"]):
             key, k = keys.to_numpy(), cls[w]
             low = int(key.min())
-            code = ((key - low) * 2 + ~held.to_numpy(zero_copy_only=False))[doc]
+            code = ((key - low) * 2 + ~held.to_numpy(zero_copy_only=False)).astype(np.uint32)[doc]
             single = k < OWN
-            known = np.bincount(doc, weights=single & (of_class[k] > 0), minlength=len(key)).astype(np.int64)
-            base = np.bincount(doc, weights=np.where(single, np.log10(of_class[k] + 0.5), 0), minlength=len(key))
+            known = np.bincount(doc, weights=known_of[k], minlength=len(key)).astype(np.int64)
+            base = np.bincount(doc, weights=base_of[k], minlength=len(key))
+            del doc
             out = []
             cuts = np.r_[0, np.flatnonzero(np.diff(key >> DEST)) + 1, len(key)]
             for i, j in zip(cuts, cuts[1:]):
                 part = {"key": keys[i:j], "known": pa.array(known[i:j]), "base": pa.array(base[i:j]), "doc_id": ids[i:j], "held_out": held[i:j], "n_tokens": pa.array(lengths[i:j])}
                 out.append((DOCS, int(key[i] >> DEST), 0, _to_bytes(part)))
-            to = _key(hashes[v], cls[u] % FOLDED) % np.uint64(buckets[CLASSES])
+            to = np.empty(len(w), np.uint32)
+            for i in range(0, len(w), 1 << 18):
+                j = i + (1 << 18)
+                to[i:j] = _key(hashes[v[i:j]], cls[u[i:j]] % FOLDED) % np.uint64(buckets[CLASSES])
             rare = np.flatnonzero(~single)
             rk, rw = k[rare], hashes[w[rare]]
             section = offset[rk] + (rw % sections[rk].astype(np.uint64)).astype(np.int64)
@@ -486,8 +499,11 @@ def score(docs: DataFrame, seed: int = 17) -> DataFrame:
                     x = order[i:j]
                     cols, named = ([u[x], v[x], k[x]], 2) if kind == CLASSES else ([u[x], v[x], w[x]], 3)
                     out.append((kind, int(at[i]), low, _pack(code[x], cols, named, hashes, cls, ranks)))
+            del u, v, w, k, code, single, to, rare, rk, rw, section, at, order, rows, x, cols, hashes, cls, ranks
             for i in range(0, len(out), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 16]), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "bucket", "low", "block"])
+            del out
+            give_back()
 
     def seated(group: pa.Table) -> pa.Table:
         kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
@@ -529,7 +545,10 @@ def score(docs: DataFrame, seed: int = 17) -> DataFrame:
         cuts = np.r_[0, np.flatnonzero(np.diff(keys >> DEST)) + 1, len(keys)]
         rows = [(int(keys[i] >> DEST), None, _to_bytes({c: x[i:j] for c, x in sums.items()})) for i, j in zip(cuts, cuts[1:])]
         rows.append((-1, types, None))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        out = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        del rows, sums, lp, known, base, key, keys, inv, new, learn, parts
+        give_back()
+        return out
 
     def summed(group: pa.Table) -> pa.Table:
         names = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()), ("types", pa.int64())]
