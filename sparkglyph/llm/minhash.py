@@ -214,8 +214,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     entries = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     # buckets of two classes or more, and the sets of those in them
     entries = entries.select("rep", "n", F.xxhash64("band", "key").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    first_members = C.materialize(entries.join(full, "bucket"), "dedup-members")
+    full = C.materialize(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "dedup-buckets")
+    # nearly all entries are alone in their buckets: where the others' buckets are few, these go to the entries, which are not dealt and sorted
+    first_members = C.materialize(entries.join(C.broadcast_if_small(full, full.count(), 24), "bucket"), "dedup-members")
+    C.discard(full)
     wanted = C.materialize(classes.select("rep", "doc_id").join(first_members.select("rep").distinct(), "rep"), "dedup-ids")
     sets = C.materialize(_sets(docs, wanted, wanted.count(), width), "dedup-sets")
     members = first_members.join(_shared(sets), "rep")

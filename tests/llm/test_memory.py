@@ -1,6 +1,7 @@
 """What stages hold in memory."""
 
 import corpus_pipeline as P
+from sparkglyph.llm import common, minhash
 
 
 def test_texts_go_to_python_once(spark):
@@ -11,3 +12,19 @@ def test_texts_go_to_python_once(spark):
     assert "MapInArrow" in plan and "__bytes" not in plan
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == 40 and all(got[i].text == rows[i][1] and got[i].lang == rows[i][2] for i in got)
+
+
+def test_few_full_buckets_go_to_the_entries(spark, monkeypatch):
+    """Entries alone in their buckets are neither dealt nor sorted, unless the others' buckets are many."""
+    rows = [(i, f"a{i // 2} b{i // 2} c{i // 2} d e f g h" + " i" * (i % 2)) for i in range(40)] + [(99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plans, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, tag: (plans.append((tag, df._jdf.queryExecution().analyzed().toString())), write(df, tag))[1])
+    found = lambda: sorted(map(tuple, minhash.near_duplicates(docs, 2, 80).collect()))
+    members = lambda: next(p for tag, p in plans if tag == "dedup-members")
+    got = found()
+    assert "strategy=broadcast" in members()
+    plans.clear()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert found() == got and "strategy=broadcast" not in members()
+    assert any(r[0] != r[2] for r in got)
