@@ -28,31 +28,31 @@ import hashlib
 import math
 import random
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .flat import give_back, pieces
+from .flat import buffers, give_back, pieces
 from .minhash import _mix
 from .pitman_yor import CLASS_KEPT, CLASS_SWEEPS, END, FOLDED, FOLDS, HELD_OUT, N_CTX, N_DISH, STRENGTH, SUFFIX, class_model, discount_of
 
 #: Words with a class of their own, at most; class 0 is the end.
 OWN = 256
-#: Distinct words a task counts before it hands on the COMMON most frequent of them.
-COUNTED = 500_000
 #: Words that have a number of two bytes in blocks, at most; the others stand there by their hashes.
 COMMON = (1 << 16) - 2
 #: Class cells that are summed in one place, and written as one block.
 RANGE = 1 << 16
-#: Tokens a task packs at once.
+#: Tokens a task counts or packs at once.
 CHUNK = 4_000_000
 #: Learned tokens of a bucket, about, and of a section of a class.
 BUCKET = 1_000_000
+#: Words of more bytes are hashed one by one.
+LONG = 64
 #: Fewer restaurants than this take their turns one by one.
 FEW = 24
 #: Documents that one task puts together: 2 ** DEST at most.
@@ -71,66 +71,115 @@ class Common:
     """The most frequent words: their ranks, from 1; hashes and classes by rank. Rank 0 is the end."""
 
     def __init__(self, words: list[bytes]) -> None:
-        words = [END, *words]
-        self.rank = {w: i for i, w in enumerate(words)}
-        self.hashes = np.array([_hash(w) for w in words], np.uint64)
-        self.classes = np.array([_class(w, i) for i, w in enumerate(words)], np.int64)
-
-
-def _hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=6).digest(), "little")
-
-
-def _class(word: bytes, rank: int | None) -> int:
-    return rank if rank is not None and rank < OWN else OWN + zlib.crc32(word[-SUFFIX:]) % (N_DISH - OWN)
-
-
-class _Ids(dict):
-    """Numbers of the words of a chunk, their hashes, classes and ranks (-1: not common); 0 stands before a text."""
-
-    def __init__(self, common: Common, hashed: bool) -> None:
-        self.rank, self.hashed, self.hashes, self.classes, self.ranks = common.rank, hashed, [0], [0], [-1]
-
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self.classes)
-        rank = self.rank.get(word)
-        if self.hashed:
-            self.hashes.append(_hash(word))
-            self.ranks.append(-1 if rank is None else rank)
-        self.classes.append(_class(word, rank))
-        return i
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], common: Common, fields: list[str], hashed: bool = True):
-    """(u, v, w, document, lengths, (hashes, classes, ranks), fields of the documents): tokens as numbers, w after v after u."""
+        self.words = pa.array([END, *words], pa.large_binary())
+        data, at = buffers(self.words)
+        self.hashes, self.classes = _hashes(data, at), np.r_[np.arange(OWN), _classes(data, at)[OWN:]][: len(self.words)]
+
+    @property
+    def rank(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
+
+
+def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """48-bit hashes of words."""
+    n = np.diff(at)
+    h = n.astype(np.uint64)
+    eight = np.ndarray(len(data) + 1, "<u8", np.r_[data, np.zeros(8, np.uint8)], strides=(1,))  # the eight bytes from each place on
+    for i in range(0, min(LONG, int(n.max(initial=0))), 8):
+        has = np.flatnonzero(n > i)
+        beyond = (8 * np.maximum(i + 8 - n[has], 0)).astype(np.uint64)
+        h[has] = _key(h[has], eight[at[has] + i] << beyond)
+    h &= np.uint64((1 << 48) - 1)
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[at[i] : at[i + 1]].tobytes(), digest_size=6).digest(), "little")
+    return h
+
+
+def _crc(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ 0xEDB88320 * (i & 1)
+    return i
+
+
+_CRC = np.array([_crc(i) for i in range(256)], np.uint32)
+
+
+def _classes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Classes of words that have none of their own: by crc32 of the last SUFFIX bytes."""
+    end, n = at[1:], np.diff(at)
+    crc = np.full(len(n), 0xFFFFFFFF, np.uint32)
+    for back in range(SUFFIX, 0, -1):
+        has = np.flatnonzero(n >= back)
+        c = crc[has]
+        crc[has] = _CRC[(c ^ data[end[has] - back]) & 255] ^ (c >> 8)
+    return OWN + (~crc % np.uint32(N_DISH - OWN)).astype(np.int64)
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts, A-Z in lower case: their bytes one after another, their lengths, and how many each text has."""
+    low = np.frombuffer(data.tobytes().lower(), np.uint8)
+    inside = (low != 32) & (low - np.uint8(9) > 4)  # white space is the space and the control characters 9 to 13
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # texts part words too
+    cut = at[(at > 0) & (at < len(low))]
+    first[cut], last[cut - 1] = inside[cut], inside[cut - 1]
+    start = np.flatnonzero(first)
+    return low[inside], np.flatnonzero(last) + 1 - start, np.diff(np.searchsorted(start, at))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], fields: list[str]):
+    """About CHUNK tokens at once: distinct words, the number of each word in them, words of each text, fields of the documents."""
 
     def chunk():
-        w, n = np.concatenate(got), np.array(lengths, np.int64)
-        start = np.cumsum(n) - n
-        v, u = np.zeros_like(w), np.zeros_like(w)
-        v[1:], u[2:] = w[:-1], w[:-2]
-        v[start] = u[start] = 0
-        u[(start + 1)[n > 1]] = 0
-        return u, v, w, np.repeat(np.arange(len(n), dtype=np.int32), n), n, (np.array(ids.hashes, np.uint64), np.array(ids.classes, np.int32), np.array(ids.ranks, np.int32)), [pa.concat_arrays(c) for c in zip(*rows)]
+        lengths = np.concatenate([n for _, n, _ in got])
+        at = np.r_[0, np.cumsum(lengths)]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.concatenate([d for d, _, _ in got]))])
+        words = words.dictionary_encode()
+        return words.dictionary, words.indices.to_numpy(), np.concatenate([n for _, _, n in got]), [pa.concat_arrays(c) for c in zip(*rows)]
 
-    ids, got, lengths, rows, waiting = _Ids(common, hashed), [], [], [], 0
+    got, rows, waiting = [], [], 0
     for batch in batches:
         for lo, hi, data, at in pieces(batch.column("text")):
-            raw = data.tobytes()
-            for i, j in zip(at, at[1:]):
-                words = raw[i:j].lower().split()
-                words.append(END)
-                got.append(np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)))
-                lengths.append(len(words))
-                waiting += len(words)
+            got.append(_words(data, at))
+            waiting += len(got[-1][1]) + hi - lo
             rows.append([batch.column(f).slice(lo, hi - lo) for f in fields])
             if waiting > CHUNK:
                 done = [chunk()]
-                ids, got, lengths, rows, waiting = _Ids(common, hashed), [], [], [], 0
+                got, rows, waiting = [], [], 0
                 yield done.pop()  # nothing of it stays here
     if got:
         done = [chunk()]
-        del ids, got, rows
+        del got, rows
+        yield done.pop()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], common: Common, fields: list[str], hashed: bool = True):
+    """(u, v, w, document, lengths, (hashes, classes, ranks), fields of the documents): tokens as numbers, w after v after u.
+
+    0 stands before a text, 1 for its end; ranks are -1 for words that are not common.
+    """
+    for words, number, n, rows in _encoded(batches, fields):
+        data, at = buffers(words)
+        rank = pc.index_in(words, value_set=common.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        cls = np.r_[0, 0, np.where((rank >= 0) & (rank < OWN), rank, _classes(data, at))].astype(np.int32)
+        hashes = np.r_[np.uint64(0), common.hashes[:1], _hashes(data, at)] if hashed else np.zeros(0, np.uint64)
+        rank = np.r_[np.int32(-1), np.int32(0), rank]
+        n = n + 1
+        end = np.cumsum(n) - 1
+        start = end + 1 - n
+        w = np.ones(int(n.sum()), np.uint32)
+        inside = np.ones(len(w), bool)
+        inside[end] = False
+        w[inside] = number + 2
+        del words, number, data, at, inside
+        v, u = np.zeros_like(w), np.zeros_like(w)
+        v[1:], u[2:] = w[:-1], w[:-2]
+        v[start] = u[start] = 0
+        u[(start + 1)[n > 1]] = 0
+        done = [(u, v, w, np.repeat(np.arange(len(n), dtype=np.int32), n), n, (hashes, cls, rank), rows)]
+        del u, v, w, hashes, cls, rank, rows
         yield done.pop()
 
 
@@ -138,24 +187,13 @@ def common_words(docs: DataFrame) -> Common:
     """docs: the texts learned from. Classes go by the first ranks, the rest only makes blocks shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
+        for words, number, _, _ in _encoded(batches, []):
+            counts = np.bincount(number, minlength=len(words))
             # those over 1 in 50,000 in any case, which decide the classes
-            counts = np.fromiter(seen.values(), np.int64, len(seen))
-            least = min(seen.total() / 50_000, max(2, np.partition(counts, -COMMON)[-COMMON] + 1 if len(counts) > COMMON else 2))
-            got = [(w, n) for w, n in seen.items() if n >= least]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for _, _, data, at in pieces(batch.column("text")):
-                raw = data.tobytes()
-                for i, j in zip(at, at[1:]):
-                    seen.update(raw[i:j].lower().split())
-                if len(seen) > COUNTED:
-                    yield flush()
-        yield flush()
+            least = min(len(number) / 50_000, max(2, np.partition(counts, -COMMON)[-COMMON] + 1 if len(counts) > COMMON else 2))
+            got = counts >= least
+            yield pa.RecordBatch.from_arrays([words.filter(pa.array(got)).cast(pa.binary()), pa.array(counts[got], pa.int64())], names=["word", "n"])
+            del words, number, counts, got
         give_back()
 
     got = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -327,35 +365,44 @@ def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float
     return t
 
 
-def seat_in_turn(ctx: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Seats all dishes anew, those of a restaurant in turn. A single customer has one table and takes no turn."""
-    t = np.minimum(np.maximum(t, 1), c)
-    tables = np.bincount(ctx, weights=t)
+def _turns(ctx: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of two customers or more, and of the restaurants that have any, the largest first, where theirs begin and how many they are. ctx is sorted."""
     order = np.flatnonzero(c > 1)
-    order = order[np.argsort(ctx[order], kind="stable")]
-    if not len(order):
-        return t
     g = ctx[order]
-    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(g)])
     by = np.argsort(-size, kind="stable")
-    first, size = first[by], size[by]
+    return order, first[by], size[by]
+
+
+def seat_in_turn(turns: tuple[np.ndarray, np.ndarray, np.ndarray], ctx: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Seats all dishes anew, those of a restaurant in turn. A single customer has one table and takes no turn.
+
+    turns: of ``_turns``; parent: of its cells.
+    """
+    t = np.minimum(np.maximum(t, 1), c)
+    order, first, size = turns
+    if not len(order):
+        return t
+    tables = np.bincount(ctx, weights=t)
+    g, c, seated = ctx[order], c[order], t[order]
     draw = random.Random(int(rng.integers(2**62)))
     turn = 0
     while (m := int(np.searchsorted(-size, -turn))) >= FEW:  # those with dishes left are the first m
-        k = order[first[:m] + turn]
-        others = tables[ctx[k]] - t[k]
-        t[k] = seat(c[k], parent[k], others, d, rng, draw)
-        tables[ctx[k]] = others + t[k]
+        k = first[:m] + turn
+        others = tables[g[k]] - seated[k]
+        seated[k] = new = seat(c[k], parent[k], others, d, rng, draw)
+        tables[g[k]] = others + new
         turn += 1
     for at, n in zip(first[:m].tolist(), size[:m].tolist()):
-        dishes = order[at + turn : at + n]
-        total, old = tables[ctx[dishes[0]]], t[dishes].tolist()
+        dishes = slice(at + turn, at + n)
+        total, old = tables[g[at]], seated[dishes].tolist()
         for i, (x, p) in enumerate(zip(c[dishes].tolist(), parent[dishes].tolist())):
             new = _alone(x, p, total - old[i], d, draw)
             total += new - old[i]
             old[i] = new
-        t[dishes] = old
+        seated[dishes] = old
+    t[order] = seated
     return t
 
 
@@ -363,8 +410,8 @@ def probabilities(c: np.ndarray, ctx: list[np.ndarray], up: list[np.ndarray], ba
     """Mean probability of each lowest cell over the last sweeps.
 
     c: customers of the lowest cells; ctx: restaurants of the cells of each
-    level; up: their cells in the level above. base: of each cell of the highest
-    level; without one that level is diffuse.
+    level, rising; up: their cells in the level above. base: of each cell of the
+    highest level; without one that level is diffuse.
     """
     depth = len(ctx)
     cs, ts = [c.astype(np.float64)], []
@@ -373,17 +420,22 @@ def probabilities(c: np.ndarray, ctx: list[np.ndarray], up: list[np.ndarray], ba
         if i + 1 < depth:
             cs.append(np.bincount(up[i], weights=ts[i], minlength=len(ctx[i + 1])))
     ds = [discount_of((x == 1).sum(), (x == 2).sum()) for x in cs]
+    lowest = _turns(ctx[0], cs[0])  # their customers stay
     total = np.zeros(len(c))
     for turn in range(CLASS_SWEEPS):
+        kept = turn >= CLASS_SWEEPS - CLASS_KEPT
         ps = [None] * depth
-        for i in range(depth - 1, -1, -1):
-            n, t = np.bincount(ctx[i], weights=cs[i])[ctx[i]], np.bincount(ctx[i], weights=ts[i])[ctx[i]]
+        for i in range(depth - 1, -1 if kept else 0, -1):  # the lowest ones serve the mean alone
+            share = 1 / (STRENGTH + np.bincount(ctx[i], weights=cs[i]))
+            free = (STRENGTH + ds[i] * np.bincount(ctx[i], weights=ts[i])) * share
             if i == depth - 1 and base is None:
-                ps[i] = np.where(cs[i] > 0, cs[i] - ds[i], STRENGTH + ds[i] * t) / (STRENGTH + n)
+                ps[i] = np.where(cs[i] > 0, (cs[i] - ds[i]) * share[ctx[i]], free[ctx[i]])
             else:
-                above = base if i == depth - 1 else ps[i + 1][up[i]]
-                ps[i] = (np.maximum(cs[i] - ds[i] * ts[i], 0) + (STRENGTH + ds[i] * t) * above) / (STRENGTH + n)
-        if turn >= CLASS_SWEEPS - CLASS_KEPT:
+                p = free[ctx[i]]
+                p *= base if i == depth - 1 else ps[i + 1][up[i]]
+                p += np.maximum(cs[i] - ds[i] * ts[i], 0) * share[ctx[i]]
+                ps[i] = p
+        if kept:
             total += ps[0]
         if turn == CLASS_SWEEPS - 1:
             break  # a seating after the last probabilities would serve nothing
@@ -393,19 +445,47 @@ def probabilities(c: np.ndarray, ctx: list[np.ndarray], up: list[np.ndarray], ba
             if i == depth - 1 and base is None:
                 ts[i] = np.minimum(cs[i], 1.0)
             else:
-                ts[i] = seat_in_turn(ctx[i], cs[i], ts[i], base if i == depth - 1 else ps[i + 1][up[i]], ds[i], rng)
+                turns = _turns(ctx[i], cs[i]) if i else lowest
+                parent = base[turns[0]] if i == depth - 1 else ps[i + 1][up[i][turns[0]]]
+                ts[i] = seat_in_turn(turns, ctx[i], cs[i], ts[i], parent, ds[i], rng)
     return total / CLASS_KEPT
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct value, and which value each is."""
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which ``x`` rises, and there the number of each distinct value."""
     order = np.argsort(x)
     x = x[order]
     new = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
     del x
+    return order, np.cumsum(new, dtype=np.int32) - np.int32(1)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, in rising order, and which value each is."""
+    order, number = _sorted(x)
     which = np.empty(len(order), np.int32)
-    which[order] = np.cumsum(new, dtype=np.int32) - 1
-    return order[new], which
+    which[order] = number
+    return order[np.flatnonzero(np.diff(number, prepend=np.int32(-1)))], which
+
+
+def _cells(restaurant: np.ndarray, dish: np.ndarray, few: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of each cell, those of a restaurant one after another; the cell of each row; the restaurants of the cells, rising.
+
+    few: all dishes are below N_DISH; then they stand beside 55 bits of the
+    restaurant's hash, and one sort serves for both.
+    """
+    if few:
+        low = np.uint64(N_DISH - 1)
+        key = restaurant & ~low | dish.astype(np.uint64)
+        at, which = _distinct(key)
+        r = key[at] & ~low
+        new = np.r_[False, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
+        return at, which, np.cumsum(new, dtype=np.int32)
+    at, which = _distinct(_key(restaurant, dish))
+    order, ctx = _sorted(restaurant[at])
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return at[order], place[which], ctx
 
 
 def score_bucket(root: np.ndarray, v: np.ndarray, u: np.ndarray, dish: np.ndarray, learn: np.ndarray, base, rng: np.random.Generator):
@@ -418,19 +498,19 @@ def score_bucket(root: np.ndarray, v: np.ndarray, u: np.ndarray, dish: np.ndarra
     after = _key(root.astype(np.uint64), v)
     both = _key(after, u)
     del u, v
-    one, inv = _distinct(_key(both, dish))
-    c = np.bincount(inv, weights=learn)
-    ctx = [_distinct(both[one])[1]]
+    few = base is not None and int(dish.max(initial=0)) < N_DISH
+    one, inv, ctx = _cells(both, dish, few)
     del both
+    c, ctx = np.bincount(inv, weights=learn), [ctx]
     after, dish, root = after[one], dish[one], root[one]
-    two, up = _distinct(_key(after, dish))
-    ctx.append(_distinct(after[two])[1])
+    two, up, above = _cells(after, dish, few)
+    ctx.append(above)
     dish, root = dish[two], root[two]
     if base is not None:
         base = base(root, dish) if callable(base) else base[one][two]
         return np.log10(np.maximum(probabilities(c, ctx, [up], base, rng), 1e-300))[inv]
-    three, top = _distinct(_key(root.astype(np.uint64), dish))
-    ctx.append(_distinct(root[three])[1])
+    three, top, above = _cells(root.astype(np.uint64), dish, False)
+    ctx.append(above)
     p = probabilities(c, ctx, [up, top], None, rng)
     word = top[up]
     return np.log10(np.maximum(p, 1e-300))[inv], word[inv], np.bincount(word, weights=c)
