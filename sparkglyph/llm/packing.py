@@ -15,6 +15,7 @@ chunks, so no length, however frequent, lands in one task.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +25,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .flat import pieces
+from .flat import give_back, pieces
 
 WINDOW = 2048
 #: Combinations of three lengths are enumerated over so many of the most frequent lengths.
 TRIPLE_LENGTHS = 96
 END_ID = 1
-#: Words, and parts of words, whose ids a Python worker keeps; a table is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Words, and parts of words, that a table of ids takes in before it is the old one; a Python worker keeps two tables of each.
+CACHE_WORDS = 150_000
+#: Words and parts of more bytes or letters are not kept.
+CACHE_LENGTH = 48
+#: Bytes of text that a worker takes apart at once.
+PIECE = 1 << 20
 
 
 def _tokenizer_path(path: str | None) -> str:
@@ -54,30 +59,47 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Words(dict):
-    """Ids of words, as bytes, put together from those of their parts."""
+    """Ids of words, as bytes, put together from those of their parts.
+
+    A full table is kept as the old one; words that come again move on to the
+    new one, the others go when that is full in turn.
+    """
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer, self.model, self.letters, self.parts = tokenizer, tokenizer.model, _byte_letters(), {}
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.old, self.parts, self.old_parts = {}, {}, {}
 
     def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            ids = self.old_parts.get(part)
+            if ids is None:
+                spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+                ids = _bytes([t.id for t in self.model.tokenize(spelled)])
+            if len(part) <= CACHE_LENGTH:
+                if len(self.parts) >= CACHE_WORDS:
+                    self.old_parts, self.parts = self.parts, {}
+                self.parts[part] = ids
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        s = word.decode("utf-8", "replace")
-        if _SIMPLE.fullmatch(s) and "<|" not in s and "\u00d7" not in s:
-            ids = b"".join(map(self.part, _PARTS.findall(s.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        ids = self.old.get(word)
+        if ids is None:
+            s = word.decode("utf-8", "replace")
+            if _SIMPLE.fullmatch(s) and "<|" not in s and "\u00d7" not in s:
+                ids = b"".join(map(self.part, _PARTS.findall(s.lower())))
+            else:
+                ids = _bytes(self.tokenizer.encode(s, add_special_tokens=False).ids)
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.old = self.copy()
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -114,7 +136,7 @@ def tokenize(docs: DataFrame, window: int, path: str | None) -> DataFrame:
         tokens = Tokens(path)
         for batch in batches:
             n, full, rest, crc = [], [], [], []
-            for _, _, data, at in pieces(batch.column("text")):
+            for _, _, data, at in pieces(batch.column("text"), PIECE):
                 raw = data.tobytes()
                 for ids in tokens.of([raw[a:b] for a, b in zip(at, at[1:])]):
                     k = len(ids) // 4 // window
@@ -126,6 +148,8 @@ def tokenize(docs: DataFrame, window: int, path: str | None) -> DataFrame:
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64())],
                 names=["doc_id", "text_hash", "tokens", "full_crcs", "rest", "rest_crc"],
             )
+            batch = data = at = raw = ids = n = full = rest = crc = None  # nothing of it stays while the next one is read
+            give_back()
 
     return inner.mapInArrow(run, "doc_id long, text_hash long, tokens long, full_crcs array<long>, rest int, rest_crc long")
 
@@ -284,5 +308,7 @@ def _cut_crcs(docs: DataFrame, cut: DataFrame, most: int, tokenizer: str | None)
                 at = np.cumsum([skip, *sizes]) * 4
                 out.append([zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:])])
             yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("rank"), pa.array(out, pa.list_(pa.int64()))], names=["rest", "rank", "crcs"])
+            batch = text = ids = out = None
+            give_back()
 
     return both.mapInArrow(run, "rest int, rank long, crcs array<long>")

@@ -1,7 +1,12 @@
 """What stages hold in memory."""
 
+import weakref
+
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline as P
-from sparkglyph.llm import common, minhash
+from sparkglyph.llm import common, minhash, packing
 
 
 def test_texts_go_to_python_once(spark):
@@ -28,3 +33,37 @@ def test_few_full_buckets_go_to_the_entries(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert found() == got and "strategy=broadcast" not in members()
     assert any(r[0] != r[2] for r in got)
+
+
+def test_tokens_keep_few_short_words(spark, monkeypatch):
+    """Tables of ids end at twice their size, do without long words, and change no id; no batch is held while the next one is read."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    words = packing._Words(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    monkeypatch.setattr(packing.Tokens, "__init__", lambda self, path: setattr(self, "words", words))
+    often = "the River, runs cold; \u00e9t\u00e9 \u6c34"
+    texts = [f"{often} word{i}x {'ab' * 200 + str(i)} {often}" for i in range(200)]
+    want = [np.array([*words.tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in texts]
+
+    class Docs:
+        select = lambda self, *cols: self
+        mapInArrow = lambda self, run, schema: run
+
+    def batches():
+        for i in range(0, 200, 50):
+            held = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 50)), pa.array(range(50)), pa.array([t.encode() for t in texts[i : i + 50]])], names=["doc_id", "text_hash", "text"])]
+            left = weakref.ref(held[0])
+            yield held.pop()
+            assert left() is None
+
+    n, crc = [], []
+    for out in packing.tokenize(Docs(), 4096, None)(batches()):
+        n += out.column("tokens").to_pylist()
+        crc += out.column("rest_crc").to_pylist()
+    assert n == [len(x) for x in want] and crc == [packing.zlib.crc32(x.tobytes()) for x in want]
+    tables = [words, words.old, words.parts, words.old_parts]
+    assert all(0 < len(t) <= 50 for t in tables[:3]) and len(words.old_parts) <= 50
+    assert max(len(k) for t in tables for k in t) < 100
+    assert b"River," in words or b"River," in words.old
