@@ -17,7 +17,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .flat import give_back, pieces
+from .flat import buffers, give_back, pieces
 
 WINDOW = 2048
 #: Combinations of three lengths are enumerated over so many of the most frequent lengths.
@@ -37,6 +39,8 @@ CACHE_WORDS = 150_000
 CACHE_LENGTH = 48
 #: Bytes of text that a worker takes apart at once.
 PIECE = 1 << 20
+#: Bytes of text whose distinct words are spelled together; in columns under the latter each word is looked up by itself.
+CHUNK, FEW = 1 << 22, 1 << 16
 
 
 def _tokenizer_path(path: str | None) -> str:
@@ -63,6 +67,75 @@ def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LETTER, _DIGIT, _OTHER, _ODD = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """Kinds of bytes as ``_SIMPLE`` and ``_PARTS`` have them; the apostrophe, which begins parts of its own, is odd."""
+    kind = np.full(256, _ODD, np.uint8)
+    kind[33:127], kind[ord("'")] = _OTHER, _ODD
+    kind[48:58] = _DIGIT
+    kind[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = _LETTER
+    return kind
+
+
+_KIND = _kinds()
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _binary(data: np.ndarray, start: np.ndarray) -> pa.LargeBinaryArray:
+    """What lies in ``data`` from each start to the next."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data))), pa.py_buffer(data)])
+
+
+def _cut(data: np.ndarray, at: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The words of texts, and how many each text has; words end at the space and the control characters 9 to 13."""
+    inside = ~_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cut = at[:-1][np.diff(at) > 0]
+    first[cut] = inside[cut]
+    count = np.diff(np.searchsorted(np.flatnonzero(first), at))
+    return _binary(data[inside], np.flatnonzero(first[inside])), count
+
+
+def _parts(words: pa.LargeBinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """Parts of words in lower case, how many each word has, and which words are odd: these are left whole, as they are.
+
+    Odd are those that ``_SIMPLE`` does not match, and those that may hold a
+    special token or a part with an apostrophe.
+    """
+    data, at = buffers(words)
+    kind, low = _KIND[data], _LOWER[data]
+    odd = kind == _ODD
+    odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    lead, tail = data == 0xC3, (data & 0xC0) == 0x80
+    if lead.any() or tail.any():  # Latin-1 letters of two bytes
+        odd[1:] |= lead[:-1] != tail[1:]
+        odd[at[:-1]] |= tail[at[:-1]]
+        odd[at[1:] - 1] |= lead[at[1:] - 1]
+        odd |= tail & ((data == 0x97) | (data == 0xB7))  # the signs of multiplication and division
+        low = np.where(tail & (data < 0x9F), low | 0x20, low)
+    first = kind == _DIGIT
+    first[1:] |= kind[1:] != kind[:-1]
+    odd_word = np.zeros(len(words), bool)
+    if odd.any():
+        odd_word = np.logical_or.reduceat(odd, at[:-1])
+        whole = np.repeat(odd_word, np.diff(at))
+        low, first = np.where(whole, data, low), first & ~whole
+    first[at[:-1]] = True
+    start = np.flatnonzero(first)
+    return _binary(low, start), np.diff(np.searchsorted(start, at)), odd_word
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``n`` items of ``flat`` from ``start`` on, of each of ``which``, end to end."""
+    size = n[which]
+    end = np.cumsum(size)
+    return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start[which] - end + size, size)]
+
+
 class _Words(dict):
     """Ids of words, as bytes, put together from those of their parts.
 
@@ -74,13 +147,15 @@ class _Words(dict):
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
         self.old, self.parts, self.old_parts = {}, {}, {}
 
+    def _letters(self, part: str) -> str:
+        return part.encode().decode("latin-1").translate(self.letters)
+
     def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             ids = self.old_parts.get(part)
             if ids is None:
-                spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-                ids = _bytes([t.id for t in self.model.tokenize(spelled)])
+                ids = _bytes([t.id for t in self.model.tokenize(part if part.isascii() else self._letters(part))])
             if len(part) <= CACHE_LENGTH:
                 if len(self.parts) >= CACHE_WORDS:
                     self.old_parts, self.parts = self.parts, {}
@@ -102,6 +177,46 @@ class _Words(dict):
             self[word] = ids
         return ids
 
+    def _parts_ids(self, spelled: list[str]) -> list[bytes]:
+        """Ids of distinct parts, the most frequent last: these stay when a table is full."""
+        known, old, tokenize = self.parts, self.old_parts, self.model.tokenize
+        ids = [known.get(p) or old.get(p) for p in spelled]
+        new = [i for i, x in enumerate(ids) if x is None]
+        flat, ends = array("I"), array("Q", [0])
+        for i in new:
+            p = spelled[i]
+            flat.extend([t.id for t in tokenize(p if p.isascii() else self._letters(p))])
+            ends.append(4 * len(flat))
+        raw = np.array(flat, "<u4").tobytes()
+        for i, a, b in zip(new, ends, ends[1:]):
+            ids[i] = raw[a:b]
+        fresh = [i for i, p in enumerate(spelled) if len(p) <= CACHE_LENGTH and p not in known]
+        if len(known) + len(fresh) <= CACHE_WORDS:
+            known.update((spelled[i], ids[i]) for i in fresh)
+        else:
+            short = [i for i, p in enumerate(spelled) if len(p) <= CACHE_LENGTH][-CACHE_WORDS:]
+            self.old_parts, self.parts = known, {spelled[i]: ids[i] for i in short}
+        return ids
+
+    def spell(self, words: pa.LargeBinaryArray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, where each word's begin, and how many it has."""
+        parts, count, odd_word = _parts(words)
+        parts = parts.dictionary_encode()
+        number, first = parts.indices.to_numpy(), np.cumsum(count) - count
+        odd = np.zeros(len(parts.dictionary), bool)
+        odd[number[first[odd_word]]] = True
+        order = np.lexsort((np.bincount(number, np.repeat(times, count)), odd))  # the most frequent last
+        simple = len(odd) - int(odd.sum())
+        ids = self._parts_ids(parts.dictionary.take(pa.array(order[:simple])).cast(pa.large_string()).to_pylist())
+        ids += map(self.__getitem__, parts.dictionary.take(pa.array(order[simple:])).to_pylist())
+        n = np.zeros(len(odd), np.int64)
+        n[order] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.zeros(len(odd), np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        flat = _gather(np.array(memoryview(b"".join(ids)).cast("I"), "<u4"), start, n, number)
+        ends = np.append(0, np.cumsum(n[number]))[np.append(first, len(number))]
+        return flat, ends[:-1], np.diff(ends)
+
 
 class Tokens:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, the end id included.
@@ -110,7 +225,8 @@ class Tokens:
     single digits and runs of other characters each by itself. Words' ids are
     looked up, new words are put together from their parts' ids, and only new
     parts go through the tokenizer's model. Words of other alphabets, or with
-    the special tokens in them, go through the whole tokenizer.
+    the special tokens in them, go through the whole tokenizer. Of long columns
+    each distinct word of a chunk is taken apart once, all of them together.
     """
 
     def __init__(self, path: str | None) -> None:
@@ -127,6 +243,35 @@ class Tokens:
         find, end = self.words.__getitem__, np.array([END_ID], "<u4").tobytes()
         return [b"".join(map(find, t.split())) + end for t in texts]
 
+    def of_column(self, column: pa.Array) -> Iterator[list[bytes | memoryview]]:
+        """Ids of all texts of a column, in runs."""
+        for lo, hi, data, at in pieces(column, CHUNK):
+            if len(data) < FEW:
+                raw = data.tobytes()
+                yield self.of([raw[a:b] for a, b in zip(at, at[1:])])
+            else:
+                yield from self._of_many(column.slice(lo, hi - lo))
+
+    def _of_many(self, column: pa.Array) -> Iterator[list[memoryview]]:
+        cut = [_cut(data, at) for _, _, data, at in pieces(column, PIECE)]
+        if not any(len(w) for w, _ in cut):
+            yield self.of([b""] * len(column))
+            return
+        words = pa.chunked_array([w for w, _ in cut]).dictionary_encode().combine_chunks()  # one dictionary for all of it
+        number, dictionary = words.indices.to_numpy(), words.dictionary
+        counts, end = [n for _, n in cut], len(dictionary)
+        del cut, words
+        flat, start, n = self.words.spell(dictionary, np.bincount(number, minlength=end))
+        flat, start, n = np.append(flat, np.uint32(END_ID)), np.append(start, len(flat)), np.append(n, 1)
+        at = 0
+        for count in counts:
+            stop = np.cumsum(count)
+            which = np.insert(number[at : at + stop[-1]], stop, end)  # the end id follows each text
+            ids = _gather(flat, start, n, which).astype("<u4", copy=False).view(np.uint8).data
+            to = 4 * np.append(0, np.cumsum(n[which])[stop + np.arange(len(stop))])
+            yield [ids[a:b] for a, b in zip(to, to[1:])]
+            at += stop[-1]
+
 
 def tokenize(docs: DataFrame, window: int, path: str | None) -> DataFrame:
     """doc_id, text_hash, tokens, full_crcs (of the full windows), rest (tokens after them), rest_crc."""
@@ -136,19 +281,17 @@ def tokenize(docs: DataFrame, window: int, path: str | None) -> DataFrame:
         tokens = Tokens(path)
         for batch in batches:
             n, full, rest, crc = [], [], [], []
-            for _, _, data, at in pieces(batch.column("text"), PIECE):
-                raw = data.tobytes()
-                for ids in tokens.of([raw[a:b] for a, b in zip(at, at[1:])]):
-                    k = len(ids) // 4 // window
-                    n.append(len(ids) // 4)
-                    full.append([zlib.crc32(ids[4 * window * i : 4 * window * (i + 1)]) for i in range(k)])
-                    rest.append(len(ids) // 4 - k * window)
-                    crc.append(zlib.crc32(ids[4 * window * k :]))
+            for ids in chain.from_iterable(tokens.of_column(batch.column("text"))):
+                k = len(ids) // 4 // window
+                n.append(len(ids) // 4)
+                full.append([zlib.crc32(ids[4 * window * i : 4 * window * (i + 1)]) for i in range(k)])
+                rest.append(len(ids) // 4 - k * window)
+                crc.append(zlib.crc32(ids[4 * window * k :]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64())],
                 names=["doc_id", "text_hash", "tokens", "full_crcs", "rest", "rest_crc"],
             )
-            batch = data = at = raw = ids = n = full = rest = crc = None  # nothing of it stays while the next one is read
+            batch = ids = n = full = rest = crc = None  # nothing of it stays while the next one is read
             give_back()
 
     return inner.mapInArrow(run, "doc_id long, text_hash long, tokens long, full_crcs array<long>, rest int, rest_crc long")
@@ -303,12 +446,11 @@ def _cut_crcs(docs: DataFrame, cut: DataFrame, most: int, tokenizer: str | None)
         tokens = Tokens(tokenizer)
         for batch in batches:
             out = []
-            for text, skip, sizes in zip(batch.column("text").to_pylist(), batch.column("skip").to_pylist(), batch.column("n").to_pylist()):
-                ids = tokens.of([text])[0]
+            for ids, skip, sizes in zip(chain.from_iterable(tokens.of_column(batch.column("text"))), batch.column("skip").to_pylist(), batch.column("n").to_pylist()):
                 at = np.cumsum([skip, *sizes]) * 4
                 out.append([zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:])])
             yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("rank"), pa.array(out, pa.list_(pa.int64()))], names=["rest", "rank", "crcs"])
-            batch = text = ids = out = None
+            batch = ids = out = None
             give_back()
 
     return both.mapInArrow(run, "rest int, rank long, crcs array<long>")
